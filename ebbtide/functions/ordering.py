@@ -125,18 +125,18 @@ def latest_before(
     null this is a lag; with gaps it carries the last value forward.
     """
     by = list(by)
-    tagged = rows.withColumn("_chunk", chunk).withColumn("_value", value)
+    tagged = rows.withColumn("_carry_chunk", chunk).withColumn("_carried", value)
     inside = (
-        Window.partitionBy(*by, "_chunk").orderBy(*order)
+        Window.partitionBy(*by, "_carry_chunk").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    local = tagged.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
-    chunks = tagged.groupBy(*by, "_chunk").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail")
+    local = tagged.withColumn("_near", F.last("_carried", ignorenulls=True).over(inside))
+    chunks = tagged.groupBy(*by, "_carry_chunk").agg(
+        F.max_by("_carried", F.when(F.col("_carried").isNotNull(), F.struct(*order))).alias("_tail")
     )
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = chunks.select(*by, "_chunk", F.last("_tail", ignorenulls=True).over(before).alias("_far"))
-    return local.join(carried, [*by, "_chunk"], "left").select(
+    before = Window.partitionBy(*by).orderBy("_carry_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(*by, "_carry_chunk", F.last("_tail", ignorenulls=True).over(before).alias("_far"))
+    return local.join(carried, [*by, "_carry_chunk"], "left").select(
         *[F.col(c) for c in rows.columns], F.coalesce("_near", "_far").alias(out)
     )
 

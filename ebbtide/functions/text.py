@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -9,9 +10,19 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.numeric import col
 
-# Accented letters folded to their base letter, pairwise.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _folding() -> tuple[str, str]:
+    """Accented Latin letters and their base letters, derived from the Unicode tables."""
+    letters = [chr(c) for c in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]]
+    pairs = [(c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in letters]
+    single = [(c, base) for c, base in pairs if len(base) == 1]
+    # the Cyrillic A looks like the Latin one and is meant as such in place names
+    single += [("\u0410", "A"), ("\u0430", "a")]
+    return "".join(c for c, _ in single), "".join(base for _, base in single)
+
+
+ACCENTED, UNACCENTED = _folding()
 
 
 def blank_to_null(value: Column | str) -> Column:
