@@ -41,12 +41,14 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     cells: int | None = None,
+    overall: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of columns, ``{output: input}``, along ``order``.
 
     ``rows`` holds one row per (``by``, ``order``) without nulls in them: aggregate first,
-    which also removes hot values.
+    which also removes hot values. ``overall`` adds sums over all rows of each ``by``.
     """
+    overall = overall or {}
     tagged = with_range_cell(rows, order, cells)
     by = list(by)
 
@@ -55,17 +57,21 @@ def running_totals(
 
     inside = Window.partitionBy(*by, "_cell").orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(src).over(inside).alias(f"_in_{out}") for out, src in totals.items()])
-    per_cell = tagged.groupBy(*by, "_cell").agg(*[F.sum(src).alias(f"_sum_{out}") for out, src in totals.items()])
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(sort("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    summed = {out: src for out, src in [*totals.items(), *overall.items()]}
+    per_cell = tagged.groupBy(*by, "_cell").agg(*[F.sum(src).alias(f"_sum_{out}") for out, src in summed.items()])
+    # windows over the cells: a bounded number of rows per key
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    earlier = whole.orderBy(sort("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(
-        *by, "_cell", *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in totals]
+        *by, "_cell",
+        *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in totals],
+        *[F.sum(f"_sum_{out}").over(whole).alias(out) for out in overall],
     )
     joined = local.join(offsets, [*by, "_cell"])
     return joined.select(
         *[F.col(c) for c in rows.columns],
         *[(F.col(f"_in_{out}") + F.col(f"_off_{out}")).alias(out) for out in totals],
+        *overall,
     )
 
 
@@ -154,12 +160,7 @@ def exact_quantiles(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_totals(counts, value, {"_upto": "_n"}, by=by)
-    if by:
-        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-        ranked = ranked.join(sizes, by)
-    else:
-        ranked = ranked.withColumn("_size", counts.agg(F.sum("_n")).scalar())
+    ranked = running_totals(counts, value, {"_upto": "_n"}, by=by, overall={"_size": "_n"})
     picks = []
     for name, q in quantiles.items():
         place = F.lit(float(q)) * (F.col("_size") - 1)

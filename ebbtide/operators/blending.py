@@ -63,9 +63,8 @@ def percentile_scores(long: DataFrame, reference: Column) -> DataFrame:
     ``long`` has ``member`` and ``score``; reference rows are marked by a condition.
     """
     counts = long.groupBy("member", "score").agg(F.count_if(reference).alias("_ref"))
-    ranked = running_totals(counts, "score", {"_upto": "_ref"}, by=["member"])
-    sizes = counts.groupBy("member").agg(F.sum("_ref").alias("_size"))
-    table = ranked.join(sizes, "member").select(
+    ranked = running_totals(counts, "score", {"_upto": "_ref"}, by=["member"], overall={"_size": "_ref"})
+    table = ranked.select(
         "member", "score", F.coalesce(F.try_divide(F.col("_upto").cast("double"), F.col("_size").cast("double")), F.lit(0.0)).alias("percentile"))
     return long.join(table, ["member", "score"])
 

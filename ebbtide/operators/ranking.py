@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.numeric import ratio
 from ebbtide.functions.ordering import running_totals
+from ebbtide.session import pin
 
 
 def f1_of(tp: Column | str, fp: Column | str, fn: Column | str) -> Column:
@@ -50,15 +51,6 @@ def score_counts(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def _with_class_totals(ranked: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    if by:
-        return ranked.join(totals, list(by))
-    both = totals.select(F.struct("all_pos", "all_neg")).scalar()
-    return ranked.withColumn("_t", both).withColumns(
-        {"all_pos": F.col("_t.all_pos"), "all_neg": F.col("_t.all_neg")}).drop("_t")
-
-
 def roc_auc(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, equal scores count half, one class alone gives null."""
     counts = score_counts(rows, label, score, by)
@@ -70,12 +62,15 @@ def roc_auc(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
 
 def precision_recall(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score as threshold (score >= threshold is positive)."""
-    counts = score_counts(rows, label, score, by)
-    ranked = running_totals(counts, score, {"tp": "pos", "fp": "neg"}, by=by, descending=True)
-    full = _with_class_totals(ranked, counts, by)
+    return curve_of(score_counts(rows, label, score, by), score, by)
+
+
+def curve_of(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    full = running_totals(counts, score, {"tp": "pos", "fp": "neg"}, by=by, descending=True,
+                          overall={"all_pos": "pos", "all_neg": "neg"})
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("all_pos") - F.col("tp")
     return full.select(
-        *by, F.col(score).alias("threshold"), "pos", "all_pos", "tp", "fp", fn.alias("fn"),
+        *by, F.col(score).alias("threshold"), "pos", "neg", "all_pos", "tp", "fp", fn.alias("fn"),
         (F.col("all_neg") - fp).alias("tn"), ratio(tp, tp + fp).alias("precision"),
         ratio(tp, F.col("all_pos")).alias("recall"), f1_of(tp, fp, fn).alias("f1"),
     )
@@ -159,17 +154,45 @@ def fixed_threshold_report(rows: DataFrame, label: str, score: str, thresholds:
 def tuned_evaluation(
     rows: DataFrame, label: str, score: str, split: str, by: Sequence[str] = (), fit: str = "val", held: str = "test"
 ) -> DataFrame:
-    """Threshold tuned on one split and measured on the other, plus the optimistic best there."""
+    """Threshold tuned on one split and measured on the other, plus the optimistic best there.
+
+    Both splits share one precision-recall curve: every metric is an aggregate over it.
+    The counts per distinct score are written once, because the curve reads them several
+    times and scores usually end a long plan.
+    """
     by = list(by)
-    keys = by or ["_all"]
-    base = rows if by else rows.withColumn("_all", F.lit(1))
-    fit_rows, held_rows = base.where(F.col(split) == fit), base.where(F.col(split) == held)
-    tuned = best_f1(fit_rows, label, score, keys).withColumnRenamed("best_f1", "val_best_f1")
-    oracle = best_f1(held_rows, label, score, keys).select(
-        *keys, F.col("threshold").alias("oracle_threshold"), F.col("best_f1").alias("oracle_f1"))
-    joined = held_rows.join(tuned, keys)
-    measured = with_rates(joined.groupBy(*keys, "threshold", "val_best_f1").agg(
-        *confusion_exprs(label, F.col(score) >= F.col("threshold"))))
-    full = (measured.join(oracle, keys, "left").join(roc_auc(held_rows, label, score, keys), keys, "left")
-            .join(average_precision(held_rows, label, score, keys), keys, "left"))
-    return full if by else full.drop("_all")
+    used = rows.where(F.col(split).isin(fit, held)).select(*by, split, label, score)
+    counts = pin(score_counts(used, label, score, [*by, split]))
+    curve = curve_of(counts, score, [*by, split])
+    on_fit, on_held = F.col(split) == fit, F.col(split) == held
+    point, order = F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))
+    gained = F.try_divide(F.col("pos").cast("double"), F.col("all_pos").cast("double"))
+    # negatives strictly below a score, plus half of those that share it
+    beaten = F.col("tn") + 0.5 * F.col("neg")
+    pairs = (F.col("all_pos") * (F.col("tn") + F.col("fp"))).cast("double")
+    summary = curve.groupBy(*by).agg(
+        F.max_by(point, F.when(on_fit, order)).alias("tuned"),
+        F.max_by(point, F.when(on_held, order)).alias("oracle"),
+        F.try_divide(F.sum(F.when(on_held, F.col("pos") * beaten)), F.max(F.when(on_held, pairs))).alias("roc_auc"),
+        F.sum(F.when(on_held, gained * F.col("precision"))).alias("average_precision"),
+        F.max(F.when(on_held, F.col("all_pos"))).alias("_pos"),
+        F.max(F.when(on_held, F.col("tn") + F.col("fp"))).alias("_neg"),
+    )
+    held_curve = curve.where(on_held).select(*by, "threshold", "tp", "fp")
+    if by:
+        limits = held_curve.join(summary.select(*by, F.col("tuned.threshold").alias("_limit")), by)
+    else:
+        limits = held_curve.withColumn("_limit", summary.select("tuned.threshold").scalar())
+    at_limit = limits.where(F.col("threshold") >= F.col("_limit")).groupBy(*by).agg(
+        F.max("tp").alias("tp"), F.max("fp").alias("fp"))
+    if by:
+        both = summary.join(at_limit, by, "left")
+    else:
+        both = summary.withColumn("_a", at_limit.select(F.struct("tp", "fp")).scalar()).select("*", "_a.tp", "_a.fp")
+    tp, fp = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0))
+    counted = both.select(
+        *by, F.col("tuned.threshold").alias("threshold"), F.col("tuned.f1").alias("val_best_f1"),
+        tp.alias("tp"), fp.alias("fp"), (F.col("_pos") - tp).alias("fn"), (F.col("_neg") - fp).alias("tn"),
+        F.col("oracle.threshold").alias("oracle_threshold"), F.col("oracle.f1").alias("oracle_f1"),
+        "roc_auc", "average_precision")
+    return with_rates(counted)

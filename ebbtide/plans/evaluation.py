@@ -12,6 +12,7 @@ from ebbtide.operators import blending, crm, leaderboard as boards, ranking
 from ebbtide.plans.accounts import PREPARED, sql_ratio, sql_share
 from ebbtide.plans.catalog import query
 from ebbtide.plans.statements import statement
+from ebbtide.session import pin
 from ebbtide.sources.feeds import Feeds
 
 MEMBERS = ("s1", "s2", "s3")
@@ -370,9 +371,10 @@ _ABLATION_SQL = " UNION ALL ".join(
 def ablation_delta(feeds: Feeds) -> DataFrame:
     """What leaving out each member changes on the test split."""
     rows = normalised_scores(feeds)
-    scored = [rows.select("row_id", "y", "split", F.lit(name).alias("blend"),
-                          F.round(reduce(lambda a, b: a + b, [F.col(m) for m in ms]) / len(ms), 9).alias("score"))
-              for name, ms in _ABLATIONS.items()]
-    table = rounded(ranking.tuned_evaluation(reduce(DataFrame.unionByName, scored), "y", "score", "split", ["blend"]))
+    means = {n: reduce(lambda a, b: a + b, [F.col(m) for m in ms]) / len(ms) for n, ms in _ABLATIONS.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("blend"), F.round(e, 9).alias("score")) for n, e in means.items()]))
+    scored = rows.select("row_id", "y", "split", each.alias("s")).select("row_id", "y", "split", "s.blend", "s.score")
+    # two readers below, and a rounded metric table is tiny: write it once
+    table = pin(rounded(ranking.tuned_evaluation(scored, "y", "score", "split", ["blend"])))
     out = rounded(boards.delta(table, "blend", "baseline", ["f1", "roc_auc"]).select("blend", "f1", "roc_auc", "delta_f1", "delta_roc_auc"))
     return out.withColumns({c: F.col(c) + 0.0 for c in ("delta_f1", "delta_roc_auc")})

@@ -53,6 +53,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def pin(rows: DataFrame) -> DataFrame:
     """Write ``rows`` once to the shared checkpoint folder and cut their lineage."""
-    spark = rows.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(rows.sparkSession))
     return rows.checkpoint(eager=True)
