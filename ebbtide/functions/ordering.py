@@ -30,8 +30,10 @@ def with_range_cell(rows: DataFrame, order: str, cells: int | None = None, out:
     wanted = cells or _cell_count(rows)
     sample = rows.orderBy(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col(order)).limit(wanted - 1)
     borders = sample.agg(F.sort_array(F.array_distinct(F.collect_list(order)))).scalar()
-    below = F.size(F.filter(F.col("_borders"), lambda b: b < F.col(order)))
-    return rows.withColumn("_borders", borders).withColumn(out, F.coalesce(below, F.lit(0))).drop("_borders")
+    # the place of the value among the sorted borders; a lambda here would confuse the optimizer's
+    # inference of join filters from the equality of both sides' cells
+    place = F.array_position(F.sort_array(F.array_append(borders, F.col(order))), F.col(order))
+    return rows.withColumn(out, F.coalesce(place.cast("int"), F.lit(0)))
 
 
 def running_totals(

@@ -13,6 +13,7 @@ from ebbtide.functions.numeric import logit, sanitised
 from ebbtide.functions.ordering import sorted_codes
 from ebbtide.operators import crm, encoders
 from ebbtide.operators.sampling import stratified_folds
+from ebbtide.session import pin
 
 MODES = ("core", "engineered", "encoded", "encoded_without_account", "encoded_compact")
 BASE = ("Active_subscribers", "Not_Active_subscribers", "Suspended_subscribers", "Total_SUBs", "AvgMobileRevenue", "AvgFIXRevenue",
@@ -53,6 +54,8 @@ class AccountFeatures(Estimator):
         if self.with_pid:
             source = crm.prepared(self.snapshot) if self.snapshot is not None else train
             tables["account_id"] = crm.pid_aggregates(source)
+        # fitted state is small and fixed: written once, not recomputed per use
+        tables = {name: pin(table) for name, table in tables.items()}
         prior = train.agg(F.avg(self.label)).first()[0]
         return FittedAccountFeatures(self.row_id, self.label, self.mode, self.smoothing, self.folds, float(prior), tables)
 
