@@ -95,7 +95,7 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
     """One policy document per file as text column ``policy``; none when absent."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "policy string")
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "policy")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "policy")
 
 
 def policy_override(variable: str = "CHURN_THRESHOLD") -> str | None:
