@@ -19,10 +19,9 @@ def col(value: Column | str) -> Column:
 
 
 def finite(value: Column | str) -> Column:
-    """NaN and both infinities become null; other values pass."""
+    """NaN and both infinities become null; other values pass (NaN sorts above infinity)."""
     x = col(value)
-    odd = F.isnan(x) | (x == F.lit(float("inf"))) | (x == F.lit(float("-inf")))
-    return F.when(~odd, x)
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def to_double(value: Column | str) -> Column:
@@ -30,6 +29,14 @@ def to_double(value: Column | str) -> Column:
     return finite(F.nullif(F.trim(col(value).cast("string")), F.lit("")).try_cast("double"))
 
 
+def numbers(frame: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
+    """Columns as clean doubles; only text columns are parsed."""
+    kinds = {f.name: f.dataType for f in frame.schema.fields}
+    return {
+        c: finite(F.col(c).cast("double")) if isinstance(kinds[c], T.NumericType) else to_double(c) for c in columns
+    }
+
+
 def or_zero(value: Column | str) -> Column:
     return F.coalesce(col(value).cast("double"), F.lit(0.0))
 

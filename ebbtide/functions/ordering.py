@@ -17,7 +17,13 @@ from ebbtide.functions.text import hash_token
 
 def _cell_count(frame: DataFrame) -> int:
     partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(partitions, 256))
+    return max(8, min(partitions, 512))
+
+
+def _hash_digits(frame: DataFrame) -> int:
+    """Hex digits that cut a hash into clearly more cells than there are shuffle partitions."""
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 if partitions <= 64 else 3 if partitions <= 1024 else 4
 
 
 def with_range_cell(rows: DataFrame, order: str, cells: int | None = None, out: str = "_cell") -> DataFrame:
@@ -91,7 +97,7 @@ def hash_rank(
     strata: Sequence[str] = (),
     out: str = "rank",
     size_out: str | None = None,
-    prefix: int = 2,
+    prefix: int | None = None,
 ) -> DataFrame:
     """1-based position of every row in the pseudo-random order of its stratum.
 
@@ -99,7 +105,8 @@ def hash_rank(
     hash cut each stratum into 16**prefix even cells. ``size_out`` adds the stratum size.
     """
     strata = list(strata)
-    tagged = rows.withColumn("_token", hash_token(seed, row_id)).withColumn("_cell", F.substring("_token", 1, prefix))
+    digits = prefix or _hash_digits(rows)
+    tagged = rows.withColumn("_token", hash_token(seed, row_id)).withColumn("_cell", F.substring("_token", 1, digits))
     inside = Window.partitionBy(*strata, "_cell").orderBy("_token", row_id)
     local = tagged.withColumn("_in", F.row_number().over(inside))
     per_cell = tagged.groupBy(*strata, "_cell").agg(F.count(F.lit(1)).alias("_n"))

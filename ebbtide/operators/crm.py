@@ -12,11 +12,11 @@ from ebbtide.functions.numeric import (
     balance,
     flag,
     log1p_positive,
+    numbers,
     or_zero,
     ratio,
     share,
     sqrt_positive,
-    to_double,
 )
 from ebbtide.functions.text import filled_category, joined, yes_no, zip_text
 
@@ -79,7 +79,7 @@ def labelled_accounts(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def prepared(raw: DataFrame) -> DataFrame:
     """Numbers coerced, gaps flagged before they are filled, categories and crosses added."""
-    df = raw.withColumns({c: to_double(c) for c in NUMBERS})
+    df = raw.withColumns(numbers(raw, NUMBERS))
     df = df.withColumns({
         "not_active_missing": F.col("Not_Active_subscribers").isNull().cast("double"),
         "suspended_missing": F.col("Suspended_subscribers").isNull().cast("double"),

@@ -55,10 +55,10 @@ def target_encode(rows: DataFrame, train: DataFrame, column: str, label: str, sm
     }).drop("_prior")
 
 
-def out_of_fold_target(
+def out_of_fold_table(
     train: DataFrame, column: str, label: str, fold: str, smoothing: float, prefix: str, fold_prior: bool = False
 ) -> DataFrame:
-    """Encode each training row from the rows of the other folds.
+    """Encoding of each (category, fold) from the rows of the other folds.
 
     One aggregate by (category, fold); what the other folds hold is the category total
     minus the own fold. The prior is the mean of all training rows, or with
@@ -77,7 +77,18 @@ def out_of_fold_target(
     prior = (all_s - F.col("_fs")) / (all_n - F.col("_fn")) if fold_prior else all_s / all_n
     priors = folds.select(fold, prior.alias("_prior"))
     rate = smoothed(F.col("_s"), F.col("_n"), F.col("_prior"), smoothing)
-    table = rest.join(priors, fold).select(column, fold, rate.alias(f"{prefix}_rate"), logit(rate).alias(f"{prefix}_woe"))
+    return rest.join(priors, fold).select(column, fold, rate.alias(f"{prefix}_rate"), logit(rate).alias(f"{prefix}_woe"))
+
+
+def out_of_fold_target(
+    train: DataFrame, column: str, label: str, fold: str, smoothing: float, prefix: str, fold_prior: bool = False
+) -> DataFrame:
+    """Encode each training row from the rows of the other folds.
+
+    For several columns build each ``out_of_fold_table`` from the same rows and join them:
+    a chain of calls would read the rows twice as often with every link.
+    """
+    table = out_of_fold_table(train, column, label, fold, smoothing, prefix, fold_prior)
     return train.join(table, [column, fold], "left")
 
 

@@ -46,10 +46,11 @@ class AccountFeatures(Estimator):
         train = crm.prepared(dataset)
         tables: dict[str, DataFrame] = {}
         if self.mode != "core":
+            slim = pin(train.select(self.label, *categories_of(self.mode)))
             for c in categories_of(self.mode):
-                parts = [sorted_codes(train, c, f"{c}_ord"), encoders.frequency_table(train, c, f"{c}_freq")]
+                parts = [sorted_codes(slim, c, f"{c}_ord"), encoders.frequency_table(slim, c, f"{c}_freq")]
                 if self.mode.startswith("encoded"):
-                    parts.append(encoders.target_table(train, c, self.label, self.smoothing, c).drop(f"{c}_rows"))
+                    parts.append(encoders.target_table(slim, c, self.label, self.smoothing, c).drop(f"{c}_rows"))
                 tables[c] = reduce(lambda a, b: a.join(b, c), parts)
         if self.with_pid:
             source = crm.prepared(self.snapshot) if self.snapshot is not None else train
@@ -118,10 +119,13 @@ class FittedAccountFeatures(Model):
         """Training rows: target encodings come from the other folds."""
         if not self.mode.startswith("encoded"):
             return self._transform(train)
-        rows = stratified_folds(self._wide(train, skip_target=True), self.row_id, self.label, "42", self.folds, out="_fold")
+        # read by every encoding below, and the end of a long plan: written once
+        rows = pin(stratified_folds(self._wide(train, skip_target=True), self.row_id, self.label, "42", self.folds, out="_fold"))
+        wide = rows
         for c in categories_of(self.mode):
-            rows = encoders.out_of_fold_target(rows, c, self.label, "_fold", self.smoothing, c)
-        return self._finish(rows)
+            table = encoders.out_of_fold_table(rows, c, self.label, "_fold", self.smoothing, c)
+            wide = wide.join(table, [c, "_fold"], "left")
+        return self._finish(wide)
 
     def save_tables(self, path: str) -> None:
         """The fitted state as small parquet tables."""

@@ -213,8 +213,9 @@ def oof_target(feeds: Feeds) -> DataFrame:
     """Out-of-fold target encodings with both kinds of prior."""
     rows = _train(account_rows(feeds)).select("row_id", "ka", "region", "y")
     folded = sampling.stratified_folds(rows, "row_id", "y", SEED, 5)
-    encoded = encoders.out_of_fold_target(folded, "ka", "y", "fold", 25.0, "ka")
-    encoded = encoders.out_of_fold_target(encoded, "region", "y", "fold", 60.0, "region", fold_prior=True)
+    by_account = encoders.out_of_fold_table(folded, "ka", "y", "fold", 25.0, "ka")
+    by_region = encoders.out_of_fold_table(folded, "region", "y", "fold", 60.0, "region", fold_prior=True)
+    encoded = folded.join(by_account, ["ka", "fold"], "left").join(by_region, ["region", "fold"], "left")
     return rounded(encoded.select("row_id", "fold", "ka_rate", "ka_woe", "region_rate"))
 
 

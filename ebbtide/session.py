@@ -25,6 +25,11 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # methods above 8 kB of bytecode are never compiled by the JVM: let wide projections fall back
+        # to Spark's split methods instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # wide feature plans build thousands of column objects; do not trace each one's call site
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
