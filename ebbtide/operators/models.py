@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ebbtide.operators import ranking
 from ebbtide.operators.crm import assert_no_ids
 from ebbtide.operators.sampling import balanced_sample, stratified_folds
+from ebbtide.session import pin
 
 FEATURES = "features"
 WEIGHT = "weight"
@@ -112,14 +113,17 @@ def balanced_bagging(train: DataFrame, make: Factory, row_id: str, label: str, d
 
 
 def out_of_fold_scores(train: DataFrame, make: Factory, row_id: str, label: str, folds: int = 3, seed: str = "42", out: str = "score") -> DataFrame:
-    """Every training row scored by the model that did not see its fold."""
+    """Every training row scored by the model that did not see its fold.
+
+    The scores are written once: the next model reads them in every iteration.
+    """
     folded = stratified_folds(train, row_id, label, seed, folds, out="_fold").persist()
     try:
         parts = []
         for k in range(folds):
             model = make(label).fit(folded.where(F.col("_fold") != k))
             parts.append(score_with(model, folded.where(F.col("_fold") == k), out))
-        return reduce(DataFrame.unionByName, parts).drop("_fold")
+        return pin(reduce(DataFrame.unionByName, parts).drop("_fold"))
     finally:
         folded.unpersist()
 

@@ -6,7 +6,13 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LinearSVC,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -44,6 +50,10 @@ def small(name, width=3):
     made = m.candidates(width)[name]
     if name == "boosting":
         return lambda y: GBTClassifier(labelCol=y, featuresCol=m.FEATURES, weightCol=m.WEIGHT, maxIter=5, maxDepth=2, seed=1)
+    if name == "linear_svc":
+        return lambda y: LinearSVC(labelCol=y, featuresCol=m.FEATURES, weightCol=m.WEIGHT, maxIter=10, regParam=0.1)
+    if name == "perceptron":
+        return lambda y: MultilayerPerceptronClassifier(labelCol=y, featuresCol=m.FEATURES, layers=[width, 4, 2], maxIter=20, seed=1)
     if name == "random_forest":
         return lambda y: RandomForestClassifier(labelCol=y, featuresCol=m.FEATURES, weightCol=m.WEIGHT, numTrees=10, maxDepth=4, seed=1)
     return made
