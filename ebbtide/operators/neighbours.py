@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions.ordering import hash_rank
 from ebbtide.functions.text import hash_number, hash_token, hash_unit
 from ebbtide.operators.sampling import copies_needed
+from ebbtide.session import pin
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
@@ -200,6 +201,30 @@ def smote(
     return made
 
 
+def with_synthetic(rows: DataFrame, made: DataFrame, row_id: str, vector: str, label: str, minority: int) -> DataFrame:
+    """Original and synthetic rows in one table; synthetic ids are negative, originals must not be."""
+    most = made.agg(F.max("copy")).scalar()
+    number = F.col("id") * (F.col("_most") + 1) + F.col("copy")
+    new = made.withColumn("_most", most).select(
+        (-number - 1).alias(row_id), F.col("vec").alias(vector), F.lit(minority).alias(label), F.lit(True).alias("synthetic"))
+    old = rows.select(
+        F.col(row_id).cast("bigint").alias(row_id), F.col(vector).cast("array<double>").alias(vector),
+        F.col(label).cast("int").alias(label), F.lit(False).alias("synthetic"))
+    return old.unionByName(new)
+
+
+def smote_cleaned(
+    rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5, by: str = "edited"
+) -> DataFrame:
+    """Oversample, then drop rows the neighbours outvote (``edited``) or rows in Tomek pairs (``tomek``)."""
+    if by not in ("edited", "tomek"):
+        raise ValueError(f"unknown cleaning {by!r}")
+    # the enlarged table is compared with itself: written once
+    full = pin(with_synthetic(rows, smote(rows, row_id, vector, label, minority, seed, k), row_id, vector, label, minority))
+    clean = edited if by == "edited" else without_tomek
+    return clean(full, row_id, vector, label)
+
+
 def tomek_links(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     """Pairs of different classes that are each other's nearest row."""
     first = nearest(rows, rows, 1, row_id=row_id, vector=vector, itself=True).select("id", "neighbour", "distance")

@@ -84,6 +84,20 @@ def test_borderline_edited_and_tomek(spark, points):
     assert left == set(points["id"]) - set(links["id"]) - set(links["neighbour"])
 
 
+def test_oversampled_then_cleaned(spark, points):
+    rows = spark.createDataFrame(points.iloc[::3])
+    few, many = (points.iloc[::3]["y"] == 1).sum(), (points.iloc[::3]["y"] == 0).sum()
+    full = nn.with_synthetic(rows, nn.smote(rows, "id", "vec", "y", 1, "s"), "id", "vec", "y", 1).persist()
+    assert full.count() == 2 * many == full.select("id").distinct().count()
+    assert full.where("synthetic").count() == many - few
+    full.unpersist()
+    for by in ("edited", "tomek"):
+        kept = nn.smote_cleaned(rows, "id", "vec", "y", 1, "s", by=by)
+        assert 0 < kept.count() <= 2 * many
+    with pytest.raises(ValueError):
+        nn.smote_cleaned(rows, "id", "vec", "y", 1, "s", by="other")
+
+
 def test_knn_score_exact_match_decides(spark):
     train = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 0), (3, [0.0, 2.0], 0)], "id int, vec array<double>, y int")
     ask = spark.createDataFrame([(10, [0.0, 0.0]), (11, [0.5, 0.0])], "id int, vec array<double>")
