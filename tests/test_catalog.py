@@ -30,5 +30,6 @@ def test_query_equals_its_statement(spark, con, name):
 def test_driver_contract(spark):
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(ENTRIES) <= set(entry.queries()) and set(ENTRIES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
