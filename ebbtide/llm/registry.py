@@ -43,3 +43,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
     [w[x] FOR x IN list_sort(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(g, p)))] END, ' ')) AS kept_sha256
 FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 """
+
+
+@query
+def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents")).drop("source")
