@@ -50,3 +50,13 @@ def op4_mix(spark: SparkSession, folder: str) -> DataFrame:
     from ebbtide.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).drop("source")
+
+
+@query
+def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from ebbtide.llm.bpe import bpe_round_trip
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
