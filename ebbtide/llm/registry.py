@@ -60,3 +60,56 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.quality_rules import quality_rules
+
+    found = quality_rules(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words", "base_failed", "kept"
+    )
+
+
+SQL["op7_quality_rules"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+ win AS (SELECT doc_id, i, hash(array_to_string(w[i:i+4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+ again AS (SELECT doc_id, h FROM win GROUP BY doc_id, h HAVING count(*) > 1),
+ cover AS (SELECT DISTINCT doc_id, i + k AS p FROM win SEMI JOIN again USING (doc_id, h), (SELECT unnest(range(0, 5)) AS k)),
+ repeats AS (SELECT doc_id, count(*) AS n FROM cover GROUP BY doc_id),
+ line AS (SELECT doc_id, source, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS l FROM d),
+ dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line GROUP BY doc_id),
+ norm AS (SELECT doc_id, source, lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS l,
+   len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n FROM line),
+ hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+ hot AS (SELECT f.source, l FROM (SELECT source, l, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, l) f
+   JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > docs * 0.1e0),
+ gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN hot ON norm.l = hot.l AND norm.source IS NOT DISTINCT FROM hot.source GROUP BY doc_id),
+ s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+   CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_line_words
+   FROM d LEFT JOIN dups ON d.doc_id = dups.doc_id LEFT JOIN repeats ON d.doc_id = repeats.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_line_words >= 10
+    AND n_words - n_line_words >= n_words * 0.5e0 AS kept
+FROM s
+"""
+
+
+@query
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.vector_search import top_k
+
+    return top_k(table(spark, folder, "embeddings"))
+
+
+SQL["op9_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256e0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+"""
