@@ -165,3 +165,35 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... inside each group of the given sizes."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+EMPTY = np.uint64(2**64 - 1)
+
+
+class HashTable:
+    """Distinct 64-bit keys in an open-addressed table; the greatest key is reserved."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slots = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.values = np.full(slots, EMPTY, dtype=np.uint64), np.zeros(slots, dtype=values.dtype)
+        place, todo = mix(keys) & self.mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[place[todo]] == EMPTY]
+            put = free[np.unique(place[free], return_index=True)[1]]
+            self.keys[place[put]], self.values[place[put]] = keys[put], values[put]
+            todo = todo[self.keys[place[todo]] != keys[todo]]
+            place[todo] = (place[todo] + np.uint64(1)) & self.mask
+
+    def get(self, keys: np.ndarray, default) -> np.ndarray:
+        slot = mix(keys) & self.mask
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], self.values.dtype.type(default))
+        open_ = np.flatnonzero((held != keys) & (held != EMPTY))
+        while len(open_):
+            slot[open_] = (slot[open_] + np.uint64(1)) & self.mask
+            held = self.keys[slot[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (held != EMPTY)]
+        return out

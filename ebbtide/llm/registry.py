@@ -113,3 +113,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256e0 *
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
+
+
+def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").where("quality = 1").select("doc_id")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.quality_classifier import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), trusted_ids(spark, folder))
