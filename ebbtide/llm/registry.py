@@ -135,3 +135,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.jaccard_join import jaccard_components
+
+    found = jaccard_components(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
