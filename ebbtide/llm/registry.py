@@ -143,3 +143,11 @@ def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
     found = jaccard_components(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.suffix_dedup import suffix_dedup
+
+    found = suffix_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
