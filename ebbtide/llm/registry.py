@@ -151,3 +151,10 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     found = suffix_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
