@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,9 +12,27 @@ WHITE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
+def spaced(text: Column) -> Column:
+    """Words parted by spaces; a text without rarer separators only swaps its line feeds."""
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    rarer = text.rlike(r"[\x09\x0B-\x0D]")
+    return F.trim(F.when(rarer, F.translate(text, WHITE, " " * len(WHITE))).otherwise(lines))
+
+
 def words_of(text: Column) -> Column:
-    spaced = F.trim(F.translate(text, WHITE, " " * len(WHITE)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
+    parted = spaced(text)
+    return F.when(parted == "", F.array().cast("array<string>")).otherwise(F.split(parted, " +"))
+
+
+def normal_lines(text: Column) -> Column:
+    """Lower-case lines with words, one space between words."""
+    plain = F.when(text.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    return F.filter(F.transform(F.split(F.lower(plain), "\n"), F.trim), lambda line: line != "")
+
+
+def without(text: Column, characters: str) -> Column:
+    """The text without some characters."""
+    return functools.reduce(lambda left, c: F.replace(left, F.lit(c), F.lit("")), characters, text)
 
 
 def worded_lines(text: Column) -> Column:
@@ -57,8 +76,10 @@ def statistics(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame
     counted = parted.withColumns({"_windows": windows})
     return counted.withColumns({
         "n_words": F.size("_words").cast("bigint"),
-        "word_chars": F.length(F.translate(whole, WHITE + " ", "")).cast("bigint"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("bigint"),
+        "word_chars": F.length(without(whole, " " + WHITE)).cast("bigint"),
+        "n_symbols": F.when(
+            whole.rlike(r"[#*$%&|<>]"), F.length(whole) - F.length(without(whole, SYMBOLS))
+        ).otherwise(0).cast("bigint"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": _repeated_words("_windows", width),
     }).drop("_words", "_lines", "_windows")
@@ -94,7 +115,7 @@ def quality_rules(
     rows = docs.select(*named, text).withColumn("_mark", F.xxhash64(text, host))
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = F.transform(
-        worded_lines(whole), lambda line: F.struct(F.xxhash64(normalised(line)).alias("h"), F.size(words_of(line)).alias("n"))
+        normal_lines(whole), lambda line: F.struct(F.xxhash64(line).alias("h"), F.size(F.split(line, " ")).alias("n"))
     )
     # every line of a document in the order of its hash; ``first`` marks one line of each hash
     placed = rows.select(F.col(doc_id).alias("_id"), "_mark", F.col(host).alias("_host"), F.array_sort(counted).alias("_all"))
