@@ -91,7 +91,7 @@ class KneserNey:
             if order > 1:
                 out = out.drop(f"p{order - 1}")
             p = F.col(f"p{order}")
-        return out.select("gram", F.ln(p).cast("float").alias("logp"))
+        return out.select("gram", "_group", F.ln(p).cast("float").alias("logp"))
 
 
 def _with_group(docs: DataFrame, doc_id: str, parts: int) -> Column:
@@ -127,7 +127,9 @@ def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry:
         return pa.table({"_group": pa.array(np.full(len(keys), table["_group"][0].as_py(), np.int32)), "gram": keys.astype(np.int64)})
 
     asked = packed.groupBy("_group").applyInArrow(wanted, "_group int, gram long").repartition(parts, "gram")
-    answers = model.log_probability(asked.select("gram").distinct())
+    # with both columns used, the distinct grams and the join below read one and the same shuffle
+    distinct = asked.groupBy("gram").agg(F.min("_group").alias("_group")).where("_group >= 0")
+    answers = model.log_probability(distinct).select("gram", "logp")
     told = asked.join(answers, "gram")
     schema = StructType([*[docs.schema[c] for c in names if c != text], StructField("n_bytes", LongType()), StructField("logp", DoubleType())])
     arrow = to_arrow_schema(schema)
