@@ -23,12 +23,18 @@ END = 255
 NO_ID = np.iinfo(np.int64).max
 
 
+ROW = 16
+#: 255 at the columns before, and after, each column of a row.
+_BEFORE = np.where(np.arange(ROW)[None, :] < np.arange(ROW)[:, None], 255, 0).astype(np.uint8)
+_AFTER = np.where(np.arange(ROW)[None, :] > np.arange(ROW)[:, None], 255, 0).astype(np.uint8)
+
+
 class Ranges:
-    """Minima of index ranges of a byte array: rows of 32 and a sparse table over the rows."""
+    """Minima of index ranges of a byte array: short rows and a sparse table over the rows."""
 
     def __init__(self, values: np.ndarray) -> None:
-        rows = -(-len(values) // 32)
-        self.rows = np.full((rows, 32), 255, dtype=np.uint8)
+        rows = -(-len(values) // ROW)
+        self.rows = np.full((rows, ROW), 255, dtype=np.uint8)
         self.rows.ravel()[:len(values)] = values
         self.levels = [self.rows.min(axis=1)]
         while (half := 1 << (len(self.levels) - 1)) * 2 <= rows:
@@ -37,15 +43,16 @@ class Ranges:
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The minimum of [low, high] for every pair."""
-        a, b, column = low >> 5, high >> 5, np.arange(32)
-        left, right = self.rows[a], self.rows[b]
-        left[(column < (low & 31)[:, None]) | ((a == b)[:, None] & (column > (high & 31)[:, None]))] = 255
-        right[(column > (high & 31)[:, None]) | ((a == b)[:, None] & (column < (low & 31)[:, None]))] = 255
-        out = np.minimum(left.min(axis=1), right.min(axis=1))
+        a, b, last = low // ROW, high // ROW, high % ROW
+        one = a == b
+        out = (self.rows[a] | _BEFORE[low % ROW] | _AFTER[np.where(one, last, ROW - 1)]).min(axis=1)
+        two = np.flatnonzero(~one)
+        out[two] = np.minimum(out[two], (self.rows[b[two]] | _AFTER[last[two]]).min(axis=1))
         count = b - a - 1
-        level = np.frexp(np.maximum(count, 1))[1] - 1
-        for i in np.unique(level[count > 0]).tolist():
-            at = np.flatnonzero((level == i) & (count > 0))
+        many = np.flatnonzero(count > 0)
+        level = np.frexp(count[many])[1] - 1
+        for i in np.flatnonzero(np.bincount(level)).tolist():
+            at = many[level == i]
             table = self.levels[i]
             out[at] = np.minimum(out[at], np.minimum(table[a[at] + 1], table[b[at] - (1 << i)]))
         return out
@@ -70,10 +77,11 @@ def collection_transform(data: np.ndarray, cuts: np.ndarray, cap: int) -> tuple[
         order = order[:len(order) - int((bwt == END).sum())]
         rank = np.empty(len(bwt), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        own = np.sort(rank[place[going]])
+        own = rank[place[going]]
         # both neighbours of each new suffix
-        near = np.unique(np.concatenate([own, own + 1]))
-        near = near[near < len(order)]
+        marks = np.zeros(len(order) + 1, dtype=bool)
+        marks[own] = marks[own + 1] = True
+        near = np.flatnonzero(marks[:-1])
         before = order[np.maximum(near - 1, 0)]
         same = (near > 0) & (bwt[before] == bwt[order[near]])
         value = np.zeros(len(near), dtype=np.uint8)
