@@ -74,7 +74,7 @@ def collection_transform(data: np.ndarray, cuts: np.ndarray, cap: int) -> tuple[
     for size in range(1, int(sizes.max(initial=0)) + 1):
         going = np.flatnonzero(sizes >= size)
         order = np.argsort(bwt, kind="stable")
-        order = order[:len(order) - int((bwt == END).sum())]
+        order = order[:len(order) - (texts - len(going))]
         rank = np.empty(len(bwt), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         own = rank[place[going]]
@@ -93,8 +93,8 @@ def collection_transform(data: np.ndarray, cuts: np.ndarray, cap: int) -> tuple[
         symbol = np.full(len(going), END, dtype=np.uint8)
         more = sizes[going] > size
         symbol[more] = data[cuts[1:][going[more]] - size - 1]
-        wider, longer = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
-        wider[~fresh], longer[~fresh] = bwt, lcp
+        wider, longer, old = np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8), ~fresh
+        wider[old], longer[old] = bwt, lcp
         wider[place[going]] = symbol
         longer[texts + near] = value
         bwt, lcp = wider, longer
