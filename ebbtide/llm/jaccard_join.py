@@ -187,18 +187,18 @@ def jaccard_components(
                     here = np.flatnonzero(common[at:at + len(own)])
                     at += len(own)
                     if len(here):
-                        out.append((node, n, own[here].view(np.int64), here.astype(np.int32), squeeze.compress(body.as_buffer())))
+                        out.append((node, n, len(own) - len(here), own[here].view(np.int64), here.astype(np.int32), squeeze.compress(body.as_buffer())))
                 if out:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                        pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.list_(pa.int32())),
-                        pa.array([o[4] for o in out], pa.binary()),
-                    ], ["node", "n", "grams", "places", "body"])
+                        pa.array(c, k) for c, k in zip(zip(*out), (
+                            pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()
+                        ))
+                    ], ["node", "n", "alone", "grams", "places", "body"])
 
-    active = pin(asked.mapInArrow(post, "node long, n long, grams array<long>, places array<int>, body binary"))
+    active = pin(asked.mapInArrow(post, "node long, n long, alone long, grams array<long>, places array<int>, body binary"))
     bodies = active.select("node", "body")
-    posts = active.select("node", "n", F.explode(F.arrays_zip("grams", "places")).alias("x")).select(
-        F.col("x.grams").alias("gram"), "node", "n", F.col("x.places").alias("place")
+    posts = active.select("node", "n", "alone", F.posexplode(F.arrays_zip("grams", "places")).alias("earlier", "x")).select(
+        F.col("x.grams").alias("gram"), "node", "n", "alone", F.col("x.places").alias("place"), "earlier"
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -224,23 +224,26 @@ def jaccard_components(
         return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
     def near(p: str, q: str):
-        """Length and positional filter: what two sets can share besides a gram at these places."""
+        """Length and positional filter: what two sets can share besides a gram at these places.
+
+        Grams that both hold before it lie in both prefixes, so no more than the kept ones among the earlier grams.
+        """
         m, n, i, j = F.col(f"{p}.n"), F.col(f"{q}.n"), F.col(f"{p}.place"), F.col(f"{q}.place")
-        most = F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1)
+        most = F.least(f"{p}.earlier", f"{q}.earlier") + 1 + F.least(m - i - 1, n - j - 1)
         return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * most >= percent * (m + n))
 
     links = None
     for turn in range(2):
-        # stars: every class of a gram against one of them, another one in the second turn
+        # stars: every class of a gram against one of them: first the one with the fewest prefix grams of its own, which is
+        # nearest to what copies have in common, then a random one
         joined = posts if links is None else posts.join(components(links), "node", "left").select(
-            "gram", "node", "n", "place", F.coalesce("component", "node").alias("component")
+            "gram", "node", "n", "alone", "place", "earlier", F.coalesce("component", "node").alias("component")
         )
         if turn:
             mixed = joined.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
             joined = pin(joined.join(mixed.select("gram"), "gram", "left_semi"))
-        pick = F.min_by if not turn else F.max_by
-        order = F.xxhash64("node") if turn else F.col("node")
-        head = joined.groupBy("gram").agg(pick(F.struct(*[c for c in joined.columns if c != "gram"]), order).alias("h")).select("gram", "h.*")
+        order = F.xxhash64("node") if turn else F.struct("alone", "node")
+        head = joined.groupBy("gram").agg(F.min_by(F.struct(*[c for c in joined.columns if c != "gram"]), order).alias("h")).select("gram", "h.*")
         apart = F.col("p.node") != F.col("q.node") if not turn else F.col("p.component") != F.col("q.component")
         star = joined.alias("p").join(head.alias("q"), "gram").where(apart & near("p", "q")).select(
             F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")
@@ -248,7 +251,7 @@ def jaccard_components(
         found = verified(star)
         links = pin(found if links is None else links.unionByName(found).distinct())
     merged = posts.join(components(links), "node", "left").select(
-        "gram", "node", "n", "place", F.coalesce("component", "node").alias("component")
+        "gram", "node", "n", "place", "earlier", F.coalesce("component", "node").alias("component")
     )
     mixed = merged.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     merged = pin(merged.join(mixed.select("gram"), "gram", "left_semi"))
