@@ -245,9 +245,12 @@ def jaccard_components(
         order = F.xxhash64("node") if turn else F.struct("alone", "node")
         head = joined.groupBy("gram").agg(F.min_by(F.struct(*[c for c in joined.columns if c != "gram"]), order).alias("h")).select("gram", "h.*")
         apart = F.col("p.node") != F.col("q.node") if not turn else F.col("p.component") != F.col("q.component")
-        star = joined.alias("p").join(head.alias("q"), "gram").where(apart & near("p", "q")).select(
-            F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")
-        ).distinct()
+        met = joined.alias("p").join(head.alias("q"), "gram").where(apart & near("p", "q")).groupBy(
+            F.col("p.node").alias("node"), F.col("q.node").alias("head")
+        ).agg(F.count(F.lit(1)).alias("times"))
+        # one head per class, the one it shares most grams with; what this leaves apart comes up again below
+        best = met.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
+        star = best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         found = verified(star)
         links = pin(found if links is None else links.unionByName(found).distinct())
     merged = posts.join(components(links), "node", "left").select(
