@@ -16,6 +16,8 @@ from ebbtide.session import pin
 
 #: Cells of the frequency sketch: a fixed size, whatever the number of documents. Grams of one cell share a count.
 CELLS, SLICES = 1 << 20, 64
+#: Nodes of pairs that are broadcast to filter their texts; more are joined by a shuffle alone.
+FEW_NODES = 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -219,8 +221,13 @@ def jaccard_components(
                     good.append(linked(held[1], grams(row["body_b"]), percent))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-        second = pairs.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
-        both = second.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
+        pairs = pin(pairs)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        few = len(nodes.select(F.lit(1)).take(FEW_NODES + 1)) <= FEW_NODES
+        # texts that no pair needs do not move, as long as the nodes are few enough to send to every task
+        needed = bodies.join(F.broadcast(nodes), "node", "left_semi") if few else bodies
+        second = pairs.join(needed.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+        both = second.join(needed.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
         return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
     def near(p: str, q: str):
