@@ -112,14 +112,19 @@ def hash_rank(
     per_cell = tagged.groupBy(*strata, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*(strata or [F.lit(0)]))
     earlier = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    # strata may be null: their rows are a stratum of their own
+    keys = [f"_of_{i}" for i in range(len(strata))]
     offsets = per_cell.select(
-        *strata,
-        "_cell",
+        *[F.col(c).alias(k) for c, k in zip(strata, keys)],
+        F.col("_cell").alias("_of_cell"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
         F.sum("_n").over(whole).alias("_size"),
     )
     sized = [F.col("_size").alias(size_out)] if size_out else []
-    return local.join(offsets, [*strata, "_cell"]).select(
+    same = F.col("_cell") == F.col("_of_cell")
+    for c, k in zip(strata, keys):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    return local.join(offsets, same).select(
         *[F.col(c) for c in rows.columns], (F.col("_in") + F.col("_off")).alias(out), *sized
     )
 

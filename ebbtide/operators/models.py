@@ -185,7 +185,7 @@ def sweep(
                     F.lit(None).cast("string").alias("error"), F.lit(time.perf_counter() - began).alias("fit_seconds"), *metrics.columns))
                 fitted[(set_name, name)] = model
             except Exception as problem:  # a broken candidate must not end the comparison
-                failures.append((set_name, name, "failed", str(problem).splitlines()[0][:300]))
+                failures.append((set_name, name, "failed", str(problem) or type(problem).__name__))
         data.unpersist()
     failed = spark.createDataFrame(failures, "feature_set string, model string, status string, error string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*tables, failed]), fitted

@@ -85,3 +85,14 @@ def test_hot_key_is_cut_into_chunks(spark, skewed):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line and "_near" in line]
     assert windows and all("_carry_chunk" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in windows)
+
+
+def test_rows_without_a_stratum_keep_their_rank(spark):
+    from ebbtide.functions.ordering import hash_rank
+
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 4) for i in range(100)], "id long, label long")
+    found = hash_rank(rows, "id", "s", strata=["label"], size_out="size").collect()
+    assert len(found) == 100
+    for label in (None, 1, 2, 3):
+        own = [r for r in found if r.label == label]
+        assert sorted(r["rank"] for r in own) == list(range(1, 26)) and {r["size"] for r in own} == {25}
