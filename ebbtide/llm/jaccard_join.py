@@ -18,6 +18,8 @@ from ebbtide.session import pin
 CELLS, SLICES = 1 << 20, 64
 #: Nodes of pairs that are broadcast to filter their texts; more are joined by a shuffle alone.
 FEW_NODES = 2_000_000
+#: Kept prefix grams before its own that a posting of the last join holds; more only save repeated candidate rows.
+BEFORE = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -199,9 +201,11 @@ def jaccard_components(
 
     active = pin(asked.mapInArrow(post, "node long, n long, alone long, grams array<long>, places array<int>, body binary"))
     bodies = active.select("node", "body")
-    posts = active.select("node", "n", "alone", F.posexplode(F.arrays_zip("grams", "places")).alias("earlier", "x")).select(
-        F.col("x.grams").alias("gram"), "node", "n", "alone", F.col("x.places").alias("place"), "earlier"
+    listed = active.select("node", "n", "alone", "grams", F.posexplode(F.arrays_zip("grams", "places")).alias("earlier", "x")).select(
+        F.col("x.grams").alias("gram"), "node", "n", "alone", F.col("x.places").alias("place"), "earlier",
+        F.slice("grams", F.greatest(F.col("earlier") - (BEFORE - 1), F.lit(1)), F.least("earlier", F.lit(BEFORE))).alias("before"),
     )
+    posts = listed.drop("before")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct pairs (a, b)."""
@@ -260,13 +264,15 @@ def jaccard_components(
         star = best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         found = verified(star)
         links = pin(found if links is None else links.unionByName(found).distinct())
-    merged = posts.join(components(links), "node", "left").select(
-        "gram", "node", "n", "place", "earlier", F.coalesce("component", "node").alias("component")
+    merged = listed.join(components(links), "node", "left").select(
+        "gram", "node", "n", "place", "earlier", "before", F.coalesce("component", "node").alias("component")
     )
     mixed = merged.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     merged = pin(merged.join(mixed.select("gram"), "gram", "left_semi"))
+    # near copies share grams in rows: a pair that already met at one of the grams just before is not made again. The first
+    # gram that two sets share has no shared one before it, so every pair that passes the filters comes up there at least
     rest = merged.alias("p").join(merged.alias("q"), "gram").where(
-        (F.col("p.component") < F.col("q.component")) & near("p", "q")
+        (F.col("p.component") < F.col("q.component")) & near("p", "q") & ~F.arrays_overlap("p.before", "q.before")
     ).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
     links = pin(links.unionByName(verified(rest)))
     of_class = classes.select("n", "h1", "h2", F.col("s._id").alias("class_id")).join(
