@@ -11,8 +11,6 @@ from ebbtide.functions.numeric import clip
 from ebbtide.functions.ordering import hash_rank
 from ebbtide.functions.text import hash_number, hash_token, hash_unit
 
-DRIVER_SAMPLE_LIMIT = 10_000  # a sorted limit merges its rows on the driver; beyond this rank instead
-
 
 def round_half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
@@ -81,8 +79,6 @@ def oversample(rows: DataFrame, row_id: str, label: str, seed: str, minority: in
 def hash_sample(rows: DataFrame, row_id: str, seed: str, n: int, complete: Sequence[str] = ()) -> DataFrame:
     """``n`` rows in hash order, after dropping rows with gaps in ``complete``."""
     full = rows.dropna(subset=list(complete)) if complete else rows
-    if n <= DRIVER_SAMPLE_LIMIT:
-        return full.orderBy(hash_token(seed, row_id), row_id).limit(n)
     return hash_rank(full, row_id, seed, out="_rank").where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,7 +353,11 @@ def label_from_inactivity(feeds: Feeds) -> DataFrame:
 def monthly_paid(feeds: Feeds, months: dict[str, str]) -> DataFrame:
     """Paid amount per entity in named calendar months, null without a payment."""
     month = F.date_format("txn_date", "yyyy-MM")
-    return feeds.transactions().where(month.isin(*months.values())).groupBy("entity_id").agg(
+    days = [date.fromisoformat(f"{value}-01") for value in months.values()]
+    after = (max(days) + timedelta(days=31)).replace(day=1)
+    # the range of days reaches the scan, the months themselves do not
+    near = F.col("txn_date").between(F.lit(min(days)), F.lit(after - timedelta(days=1)))
+    return feeds.transactions().where(near & month.isin(*months.values())).groupBy("entity_id").agg(
         *[F.sum(F.when(month == value, F.col("paid"))).alias(name) for name, value in months.items()]
     )
 

@@ -73,14 +73,15 @@ def hash_sample(feeds: Feeds) -> DataFrame:
 
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (
   PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1
-UNION SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 100 = 0""")
+UNION SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, ROW_NUMBER() OVER (
+  PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
 def dedupe_first(feeds: Feeds) -> DataFrame:
-    """First row per key in an explicit order, united with other rows without repeats."""
-    orders = feeds.table("orders")
-    first = sampling.keep_first(orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"),
-                                ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
-    more = orders.where(F.col("o_orderkey") % 100 == 0).select(first.columns)
-    return first.union(more).distinct()
+    """First row per key in an explicit order, united with the first rows per finer key without repeats."""
+    orders = feeds.table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    order = ["o_orderdate", "o_orderkey"]
+    first = sampling.keep_first(orders, ["o_custkey"], order)
+    finer = sampling.keep_first(orders, ["o_custkey", "o_orderstatus"], order)
+    return first.union(finer).drop("o_orderdate").distinct()
 
 
 @query(statement("churn_labels members", """SELECT l.entity_id, l.is_churn, k.entity_id AS pool_id, k.city AS pool_city, k.bd AS pool_bd

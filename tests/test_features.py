@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ebbtide.functions.text import hash_token
 from ebbtide.operators import crm, encoders, sampling
 from ebbtide.operators.feature_builder import MODES, AccountFeatures
 from ebbtide.operators.blending import blend_specs, candidate_weights, primary_auxiliary_specs
@@ -57,12 +58,11 @@ def test_split_is_exhaustive_disjoint_and_stable(spark):
     assert sum(loose.values()) == 1000 and 150 < loose["test"] < 250
 
 
-def test_sample_beyond_the_driver_limit_is_the_same(spark, monkeypatch):
+def test_sample_is_the_first_in_hash_order(spark):
     rows = spark.createDataFrame([(i, None if i % 7 == 0 else i) for i in range(500)], "id int, v int")
-    small = sampling.hash_sample(rows, "id", "s", 50, ["v"]).collect()
-    monkeypatch.setattr(sampling, "DRIVER_SAMPLE_LIMIT", 10)
-    large = sampling.hash_sample(rows, "id", "s", 50, ["v"]).collect()
-    assert len(small) == 50 and {r["id"] for r in small} == {r["id"] for r in large}
+    taken = {r["id"] for r in sampling.hash_sample(rows, "id", "s", 50, ["v"]).collect()}
+    in_order = rows.dropna().orderBy(hash_token("s", "id"), "id").limit(50).collect()
+    assert len(taken) == 50 and taken == {r["id"] for r in in_order}
 
 
 def test_one_class_and_weights(spark):
@@ -122,3 +122,13 @@ def test_month_plan_never_shuffles_raw_rows(feeds):
     plan = frame._jdf.queryExecution().sparkPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_month_filter_reaches_the_scan(spark):
+    from ebbtide.plans.activity import monthly_paid
+    from ebbtide.sources.feeds import Feeds
+
+    paid = monthly_paid(Feeds(spark, "/root/testdata/sf0.001"), {"a": "2000-11", "b": "2000-12"})
+    plan = paid._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(" in pushed and "LessThan(" in pushed
