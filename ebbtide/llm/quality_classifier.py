@@ -16,6 +16,10 @@ from ebbtide.llm.kernels import HashTable, bytes_of
 from ebbtide.session import pin
 
 ORDER = 5
+#: Orders whose tables have a proven size: 256 ** 2 grams of two bytes.
+BOUNDED = 2
+#: Text of one group: large enough that it asks for few grams against its size, small enough for one task.
+GROUP_BYTES = 16 << 20
 #: Rows of trusted ids that are broadcast; more are joined by a shuffle of both sides.
 FEW_IDS = 2_000_000
 
@@ -71,41 +75,61 @@ class KneserNey:
             self.discounts[order] = [d if 0 < d <= i else base for i, d in enumerate(made, 1)]
 
     def log_probability(self, grams: DataFrame) -> DataFrame:
-        """(gram, logp) for distinct grams: every order's counts are joined by gram and by context."""
-        out, p = grams, F.lit(1.0 / 256)
-        for order in range(1, ORDER + 1):
-            d1, d2, d3 = self.discounts[order]
-            c = F.col("c")
-            cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-            table = self.counts[order]
-            one = table.select(F.col("gram").alias(f"g{order}"), (c - cut).alias(f"a{order}"))
-            context = table.groupBy(F.shiftright("gram", 8).alias(f"h{order}")).agg(
-                F.sum("c").alias(f"s{order}"), F.sum(cut).alias(f"m{order}")
-            )
-            own = _low(F.col("gram"), order)
-            out = out.withColumns({f"g{order}": own, f"h{order}": F.shiftright(own, 8)})
-            out = out.join(one, f"g{order}", "left").join(context, f"h{order}", "left").drop(f"g{order}", f"h{order}")
-            seen = F.col(f"s{order}").isNotNull()
-            p = F.when(seen, (F.coalesce(f"a{order}", F.lit(0.0)) + F.col(f"m{order}") * p) / F.col(f"s{order}")).otherwise(p)
-            out = out.withColumn(f"p{order}", p).drop(f"a{order}", f"m{order}", f"s{order}")
-            if order > 1:
-                out = out.drop(f"p{order - 1}")
-            p = F.col(f"p{order}")
-        return out.select("gram", "_group", F.ln(p).cast("float").alias("logp"))
-
-
-def _with_group(docs: DataFrame, doc_id: str, parts: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(parts)).cast("int").alias("_group")
+        """(gram, _group, logp) for distinct grams.
+
+        An order is scored once per distinct gram of that order, from the scores one order below, so only the highest order moves
+        all asked grams. Tables with at most 256 ** 2 rows (grams of two bytes, contexts of two) are broadcast: that bound
+        holds for any corpus.
+        """
+        asked = {ORDER: grams}
+        for order in range(ORDER - 1, BOUNDED, -1):
+            asked[order] = asked[order + 1].select(_low(F.col("gram"), order).alias("gram")).distinct()
+        scored = asked[BOUNDED + 1].withColumn("_p", F.lit(1.0 / 256))
+        for order in range(1, BOUNDED + 2):
+            scored = self._scored(scored, order, F.col("gram") if order > BOUNDED else _low(F.col("gram"), order))
+        for order in range(BOUNDED + 2, ORDER + 1):
+            below = scored.select(F.col("gram").alias("_below"), "_p")
+            scored = self._scored(asked[order], order, F.col("gram"), below)
+        return scored.select("gram", "_group", F.ln("_p").cast("float").alias("logp"))
+
+    def _scored(self, rows: DataFrame, order: int, gram: Column, below: DataFrame | None = None) -> DataFrame:
+        """``rows`` with the probability ``_p`` of an order in place of the one below, which stands in the rows or in ``below``."""
+        d1, d2, d3 = self.discounts[order]
+        c = F.col("c")
+        cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        table = self.counts[order]
+        own = table.select(F.col("gram").alias("_own"), (c - cut).alias("_a"))
+        context = table.groupBy(F.shiftright("gram", 8).alias("_context")).agg(F.sum("c").alias("_s"), F.sum(cut).alias("_m"))
+        out = rows.join(F.broadcast(own) if order <= BOUNDED else own, gram == F.col("_own"), "left")
+        if below is not None:
+            out = out.join(below, _low(gram, order - 1) == F.col("_below"))
+        out = out.join(
+            F.broadcast(context) if order <= BOUNDED + 1 else context, F.shiftright(gram, 8) == F.col("_context"), "left"
+        )
+        p = F.when(F.col("_s").isNull(), F.col("_p")).otherwise(
+            (F.coalesce("_a", F.lit(0.0)) + F.col("_m") * F.col("_p")) / F.col("_s")
+        )
+        return out.select(*rows.columns, p.alias("_p")) if below is not None else out.withColumn("_p", p).select(*rows.columns)
+
+
+def groups_of(docs: DataFrame, text: str) -> int:
+    """As many groups as there are ``GROUP_BYTES`` of text."""
+    return 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // GROUP_BYTES
+
+
+def _with_group(doc_id: str, text: str, groups: int) -> Column:
+    # the text takes part: rows without an id are many groups
+    return F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(groups)).cast("int").alias("_group")
 
 
 def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry: Sequence[str]) -> DataFrame:
     """doc_id, ``carry``, n_bytes and logp (the sum over the bytes; 0 for null and empty texts).
 
-    Documents are dealt to groups by a hash of their id. A group asks for its distinct grams; the answers, made once per
-    distinct gram of all documents, come back to the group. The two uses of the dealt documents share one shuffle.
+    Documents are dealt to groups of about ``GROUP_BYTES`` by a hash of id and text. A group asks for its distinct grams; the answers,
+    made once per distinct gram of all documents, come back to the group. The two uses of the dealt documents share one shuffle.
     """
     parts, names = parts_of(docs), list(dict.fromkeys([doc_id, *carry, text]))
-    inner = docs.select(_with_group(docs, doc_id, parts), *[F.col(c) for c in names])
+    inner = docs.select(_with_group(doc_id, text, groups_of(docs, text)), *[F.col(c) for c in names])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import random
 
@@ -140,6 +141,38 @@ def test_kneser_ney_sums_to_one_and_separates(spark):
     assert all(r.kept for r in nobody.collect())
 
 
+def test_perplexity_against_counts_in_python(spark):
+    from ebbtide.llm.quality_classifier import ORDER, KneserNey, perplexity
+
+    trusted = ["the cat sat on the mat", "a cat and a hat", "the rat sat"]
+    asked = [(1, "the hat sat on a cat"), (2, "zzz"), (3, ""), (4, None), (None, "the mat"), (4, "the mat")]
+    model = KneserNey(spark.createDataFrame([(t,) for t in trusted], "text string"), "text")
+    lead = b"\n" * (ORDER - 1)
+    counts = {ORDER: collections.Counter((lead + t.encode())[i:i + ORDER] for t in trusted for i in range(len(t)))}
+    for n in range(ORDER - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+
+    def cut(n, c):
+        return model.discounts[n][min(c, 3) - 1]
+
+    def probability(gram):
+        p = 1 / 256
+        for n in range(1, ORDER + 1):
+            last = gram[-n:]
+            same = {g: c for g, c in counts[n].items() if g[:-1] == last[:-1]}
+            if same:
+                own = counts[n][last] - cut(n, counts[n][last]) if last in same else 0
+                p = (own + sum(cut(n, c) for c in same.values()) * p) / sum(same.values())
+        return p
+
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    found = perplexity(docs, model, "text", "doc_id", []).collect()
+    want = [(i, len(t or ""), sum(np.log(probability((lead + t.encode())[k:k + ORDER])) for k in range(len(t))) if t else 0.0) for i, t in asked]
+    key = lambda row: (str(row[0]), row[1])
+    for got, (i, n, logp) in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert (got.doc_id, got.n_bytes) == (i, n) and abs(got.logp - logp) < 1e-3
+
+
 def test_quality_of_odd_rows(odd):
     from ebbtide.llm.quality_classifier import quality_scores
 
