@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ebbtide.llm.blocks import BLOCK_BYTES, decode, encode, parts_of, slices
 from ebbtide.llm.kernels import HashTable, bytes_of
@@ -150,8 +150,9 @@ def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry:
             keys = np.union1d(keys, distinct_grams(decode(payload.as_buffer()), text)[0])
         return pa.table({"_group": pa.array(np.full(len(keys), table["_group"][0].as_py(), np.int32)), "gram": keys.astype(np.int64)})
 
-    asked = packed.groupBy("_group").applyInArrow(wanted, "_group int, gram long").repartition(parts, "gram")
-    # with both columns used, the distinct grams and the join below read one and the same shuffle
+    # never null, so no join adds a filter of its own: all uses of the asked grams read one and the same shuffle
+    ask = StructType([StructField("_group", IntegerType(), False), StructField("gram", LongType(), False)])
+    asked = packed.groupBy("_group").applyInArrow(wanted, ask).repartition(parts, "gram")
     distinct = asked.groupBy("gram").agg(F.min("_group").alias("_group")).where("_group >= 0")
     answers = model.log_probability(distinct).select("gram", "logp")
     told = asked.join(answers, "gram")
