@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.bpe import bpe_encode
-from ebbtide.llm.jaccard_join import jaccard_components
+from ebbtide.llm.jaccard_join import one_per_component
 from ebbtide.llm.mixing import mix
 from ebbtide.llm.quality_classifier import quality_scores
 from ebbtide.llm.registry import table, trusted_ids
@@ -31,10 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every component of texts that share 0.8 of their 5-word shingles; rows without id stay."""
-    found = jaccard_components(docs, width=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of every component of texts that share 0.8 of their 5-word shingles: the smallest id, without id only alone."""
+    return one_per_component(docs, carry=COLUMNS, width=5, percent=80).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

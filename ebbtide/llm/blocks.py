@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ebbtide.llm.kernels import bytes_of
 from ebbtide.session import pin
@@ -62,6 +64,40 @@ def blocks(docs: DataFrame, text: str, columns: Sequence[str], block_bytes: int
     return pin(docs.select(*columns).mapInArrow(pack, "block long, payload binary"))
 
 
+def rows_of(packed: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of all blocks with their places, ``block`` and ``row``: keys that no two rows share."""
+    placed = StructType([*schema, StructField("block", LongType()), StructField("row", IntegerType())])
+    arrow = to_arrow_schema(placed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                rows = decode(payload.as_buffer())
+                columns = [*rows.columns, pa.array(np.full(rows.num_rows, block)), pa.array(np.arange(rows.num_rows))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return packed.mapInArrow(run, placed)
+
+
+def take_rows(packed: DataFrame, chosen: DataFrame, columns: Sequence[str], schema: StructType) -> DataFrame:
+    """The rows at the places (block, row, copies) of ``chosen``, each as often as its copies say.
+
+    ``columns`` of the payload come out in the order and with the names and types of ``schema``.
+    """
+    arrow, wanted = to_arrow_schema(schema), list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, places in zip(batch.column("payload"), batch.column("places").to_pylist()):
+                at = np.repeat([p["row"] for p in places], [p["copies"] for p in places])
+                rows = decode(payload.as_buffer()).select(wanted).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(rows.columns, arrow)], schema=arrow)
+
+    listed = F.sort_array(F.collect_list(F.struct(F.col("row").cast("int").alias("row"), F.col("copies").cast("int").alias("copies"))))
+    places = chosen.groupBy("block").agg(listed.alias("places"))
+    return packed.join(places.hint("shuffle_hash"), "block").select("payload", "places").mapInArrow(run, schema)
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The shuffle part of a key; rises with the key, so sorted keys lie part by part."""
     return ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ebbtide.llm.blocks import BLOCK_BYTES, blocks, decode, parts_of, read_bits, send, shared, with_answers
+from ebbtide.llm.blocks import BLOCK_BYTES, blocks, decode, parts_of, read_bits, send, shared, take_rows, with_answers
 from ebbtide.llm.kernels import Words, bytes_of, mix, rolling
 from ebbtide.session import pin
 
@@ -143,9 +144,40 @@ def jaccard_components(
     classes that share a prefix gram, lie in different components and pass the length and positional filters is
     verified once on the whole sets, behind the suffix filter: no link between components is lost.
     """
-    parts = parts_of(docs)
     inner = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     packed = blocks(inner, "_text", ["_id", "_text"], block_bytes)
+    return _components_of_blocks(packed, parts_of(docs), width, percent).select(
+        F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), "class_id", "component_id"
+    )
+
+
+def one_per_component(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: Sequence[str] = (), width: int = 4, percent: int = 85,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``doc_id``, ``text`` and the ``carry`` columns of one row of every component of ``jaccard_components``.
+
+    Every row is a node of its own, so rows that share an id and rows without id are linked by their texts as all others. The
+    row with the smallest id stays, one without id only where the component has no other; rows of one id go by a hash
+    of the columns, and rows that are equal in all of them are interchangeable. Texts without words all stay.
+    """
+    named = list(dict.fromkeys([doc_id, text, *carry]))
+    own = [f"_own_{i}" for i in range(len(named))]
+    inner = docs.select(
+        F.monotonically_increasing_id().alias("_id"), F.col(text).alias("_text"), F.col(doc_id).cast("bigint").alias("_name"),
+        F.xxhash64(*[F.col(c) for c in named]).alias("_mark"), *[F.col(c).alias(o) for c, o in zip(named, own) if c != text],
+    )
+    # the numbers of the rows are written with the blocks
+    packed = blocks(inner, "_text", inner.columns, block_bytes)
+    found = _components_of_blocks(packed, parts_of(docs), width, percent, ("_name", "_mark"))
+    order = F.struct(F.col("_name").isNull().alias("none"), "_name", "_mark", "block", "row")
+    stays = found.groupBy("component_id").agg(F.min(order).alias("s")).select("s.block", "s.row", F.lit(1).alias("copies"))
+    columns = ["_text" if c == text else o for c, o in zip(named, own)]
+    return take_rows(packed, stays, columns, StructType([docs.schema[c] for c in named]))
+
+
+def _components_of_blocks(packed: DataFrame, parts: int, width: int, percent: int, extra: Sequence[str] = ()) -> DataFrame:
+    """_id, n, class_id, component_id, block, row and the ``extra`` bigint columns of every row of the blocks."""
     cells = frequencies(packed, "_text", width)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +191,11 @@ def jaccard_components(
                     hashes.append(pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     rows.column("_id"), pa.array(np.diff(cuts)), *hashes, pa.array(np.full(rows.num_rows, block)),
-                    pa.array(np.arange(rows.num_rows, dtype=np.int32)),
-                ], ["_id", "n", "h1", "h2", "block", "row"])
+                    pa.array(np.arange(rows.num_rows, dtype=np.int32)), *[rows.column(c) for c in extra],
+                ], ["_id", "n", "h1", "h2", "block", "row", *extra])
 
-    known = pin(packed.mapInArrow(sets, "_id long, n long, h1 long, h2 long, block long, row int"))
+    spec = ", ".join(["_id long, n long, h1 long, h2 long, block long, row int", *[f"{c} long" for c in extra]])
+    known = pin(packed.mapInArrow(sets, spec))
     classes = pin(known.where("n > 0 and _id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("_id", "block", "row")).alias("s")))
     chosen = classes.select("s.block", "s.row").groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     picked = packed.join(chosen.hint("shuffle_hash"), "block")
@@ -281,5 +314,5 @@ def jaccard_components(
     joined = known.join(of_class, ["n", "h1", "h2"], "left")
     own = lambda c: F.when(F.col("_id").isNotNull(), F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("_id")))
     return joined.select(
-        F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id")
+        "_id", "n", own("class_id").alias("class_id"), own("component_id").alias("component_id"), "block", "row", *extra
     )
