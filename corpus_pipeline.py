@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.llm.blocks import blocks, rows_of, take_rows
 from ebbtide.llm.bpe import bpe_encode
 from ebbtide.llm.jaccard_join import one_per_component
 from ebbtide.llm.mixing import mix
@@ -24,10 +25,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; a rejected row takes all rows of its id along, rows without id stay."""
-    scores = quality_scores(docs, trusted_ids(spark, sf_dir))
-    rejected = scores.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that the classifier keeps; id, language and 96 bits of the text stand for a row, equal ones are judged alike."""
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_mark"), F.hash("text").alias("_check"))
+    scores = quality_scores(marked, trusted_ids(spark, sf_dir), carry=("_mark", "_check"))
+    rejected = scores.where("not kept").select("doc_id", "lang", "_mark", "_check").distinct()
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in rejected.columns]
+    return marked.alias("d").join(rejected.alias("r"), same, "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +45,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; texts without words and rows without id are not taken."""
-    copies = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
-    chosen = docs.select(*COLUMNS).join(copies, "doc_id")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
+    """Rows as often as the mix takes each of them, with or without id; texts without words are not taken."""
+    docs = docs.select(*COLUMNS)
+    packed = blocks(docs, "text", COLUMNS)
+    taken = mix(rows_of(packed, docs.schema), carry=("block", "row")).where("taken > 0")
+    return take_rows(packed, taken.select("block", "row", F.expr("taken div size").alias("copies")), COLUMNS, docs.schema)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

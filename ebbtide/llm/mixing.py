@@ -121,8 +121,9 @@ def mix(
     weights: Sequence[float] = (1, 2, 3),
     most: float = 3.0,
     seed: int = 0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target and taken.
+    """One row per document: doc_id, source, size, source_size, target, taken and the ``carry`` columns.
 
     Whole copies of a source fill its target as far as they fit; for the rest, documents are counted by exact length,
     ``fit_lengths`` says how many of each length to add, and a seeded hash of id and text picks them: first whole
@@ -130,10 +131,12 @@ def mix(
     are interchangeable. A null source is a source, null and blank texts have size 0 and are never taken. Only sums per
     source and counts per source and length are joined; other columns do not take part.
     """
+    kept = [f"_carry_{i}" for i in range(len(carry))]
     token = F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text)))
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
         token.alias("_token"), F.shiftrightunsigned(token, 64 - (LEAVES - 1).bit_length()).cast("int").alias("_leaf"),
+        *[F.col(c).alias(k) for c, k in zip(carry, kept)],
     )
     slim = pin(slim)
     targets = pin(source_targets(slim, weights, most))
@@ -165,10 +168,10 @@ def mix(
     )
     joined = slim.alias("d").join(open_.alias("o"), key("d", "o") & (F.col("d._leaf") == F.col("o._leaf")), "left").select(
         "doc_id", "d.source", "d.size", "_token", "d._leaf", F.coalesce("_passes", F.lit(0)).alias("_passes"),
-        F.coalesce("_left", F.lit(0)).alias("_left"), F.coalesce("_n", F.lit(0)).alias("_n"),
+        F.coalesce("_left", F.lit(0)).alias("_left"), F.coalesce("_n", F.lit(0)).alias("_n"), *kept,
     )
     partly = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
-    inside = Window.partitionBy("source", "size", "_leaf").orderBy("_token", "doc_id")
+    inside = Window.partitionBy("source", "size", "_leaf").orderBy("_token", "doc_id", *kept)
     ranked = joined.where(partly).withColumn("_more", (F.row_number().over(inside) <= F.col("_left")).cast("int"))
     rest = joined.where(~partly).withColumn("_more", ((F.col("_n") > 0) & (F.col("_left") >= F.col("_n"))).cast("int"))
     chosen = ranked.unionByName(rest)
@@ -176,6 +179,7 @@ def mix(
     return chosen.alias("s").join(t.alias("t"), same, "left").select(
         "doc_id", "s.source", "size", "source_size", "target",
         (F.col("size") * (F.col("_passes") + F.col("_more"))).alias("taken"),
+        *[F.col(k).alias(c) for c, k in zip(carry, kept)],
     )
 
 

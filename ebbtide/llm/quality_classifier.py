@@ -182,8 +182,9 @@ def quality_scores(
     quantile: float = 0.99,
     margin: float = 1.05,
     short: float = 2.0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, lang, n_bytes, log_perplexity, limit and kept of every document.
+    """doc_id, lang, n_bytes, log_perplexity, limit, kept and the ``carry`` columns of every document.
 
     A document is kept while its log perplexity per byte less ``short / sqrt(n_bytes)``, because short texts vary
     more, is within the limit of its language.
@@ -200,8 +201,9 @@ def quality_scores(
     train = ids.where(fold != 0)
     texts = docs.select(doc_id, text).join(F.broadcast(train) if small else train, F.col(doc_id) == F.col("_trusted"), "left_semi")
     model = KneserNey(texts, text)
-    inner = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    scored = perplexity(inner, model, "_text", "_id", ["_lang"])
+    inner = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"),
+                        *[F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)])
+    scored = perplexity(inner, model, "_text", "_id", ["_lang", *[f"_carry_{i}" for i in range(len(carry))]])
     scored = pin(scored.withColumn("_lp", F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))))
     figure = F.col("_lp") - F.lit(short) / F.sqrt("n_bytes")
     held = scored.join(ids.where(fold == 0), F.col("_id") == F.col("_trusted"), "left_semi").where("_lp is not null")
@@ -211,5 +213,5 @@ def quality_scores(
     limit = F.coalesce("_limit", F.lit(over_all).cast("double"))
     return scored.alias("s").join(by_lang.alias("l"), F.col("s._lang").eqNullSafe(F.col("l._lang")), "left").select(
         F.col("_id").alias(doc_id), F.col("s._lang").alias(lang), "n_bytes", F.col("_lp").alias("log_perplexity"), limit.alias("limit"),
-        F.coalesce(figure <= limit, F.lit(True)).alias("kept"),
+        F.coalesce(figure <= limit, F.lit(True)).alias("kept"), *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)],
     )

@@ -51,3 +51,31 @@ def test_one_row_of_every_component_stays(spark, documents, odd):
     # nothing of what stays is a copy of another row, so the next stage leaves whole texts
     cut = corpus_pipeline.repeated_passages(spark, documents([(i, t, "a") for i, t in kept if i != 6 and i != 1]), "").collect()
     assert (20, passage) in [(r.doc_id, r.text) for r in cut]
+
+
+def test_mixed_rows_are_those_the_mix_takes(spark, documents, odd):
+    from ebbtide.llm.mixing import mix
+
+    rows = [(r.doc_id, r.text, r.source) for r in odd.collect() if r.doc_id not in (6, 7)]
+    rows += [(40, " ".join("abcdefg"[:n]), "a") for n in (2, 3, 5)] + [(None, " ".join("hijklmnop"[:n]), "b") for n in (2, 4, 7)]
+    rows += [(40, "x y z", "b"), (40, "x y z", "c")]
+    docs = documents(rows)
+    want = Counter()
+    for r in mix(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.taken
+    found = Counter()
+    for r in corpus_pipeline.source_mix(spark, docs, "").collect():
+        assert (r.doc_id, r.text, r.source) in rows and r.lang == "en" and r.n_chars == len(r.text)
+        found[r.doc_id, r.source, len(words(r.text))] += len(words(r.text))
+    assert +want == found and any(doc is None for doc, _, _ in found)
+    assert corpus_pipeline.source_mix(spark, docs.limit(0), "").count() == 0
+
+
+def test_quality_judges_rows(spark, documents, monkeypatch):
+    def judge(docs, trusted, carry=()):
+        return docs.selectExpr("doc_id", "lang", "coalesce(text not like '%scum%', true) as kept", *carry)
+
+    monkeypatch.setattr(corpus_pipeline, "quality_scores", judge)
+    rows = [(1, "clean", "a"), (1, "scum", "a"), (1, "scum", "b"), (None, "scum", "a"), (None, "clean", "a"), (2, None, "a"), (None, None, "a")]
+    found = corpus_pipeline.quality(spark, documents(rows), "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in found) == Counter(r for r in rows if r[1] != "scum")
