@@ -42,6 +42,14 @@ def with_range_cell(rows: DataFrame, order: str, cells: int | None = None, out:
     return rows.withColumn(out, F.coalesce(place.cast("int"), F.lit(0)))
 
 
+def _same_group(by: Sequence[str], cell: str, right: DataFrame) -> tuple[DataFrame, Column]:
+    """The right side under other names, and the condition: equal cells of one group, where null is a group."""
+    same = F.col(cell) == F.col(f"_of_{cell}")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return right.withColumnsRenamed({c: f"_of_{c}" for c in [*by, cell]}), same
+
+
 def running_totals(
     rows: DataFrame,
     order: str,
@@ -53,8 +61,8 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums of columns, ``{output: input}``, along ``order``.
 
-    ``rows`` holds one row per (``by``, ``order``) without nulls in them: aggregate first,
-    which also removes hot values. ``overall`` adds sums over all rows of each ``by``.
+    ``rows`` holds one row per (``by``, ``order``), ``order`` never null: aggregate first,
+    which also removes hot values. A null ``by`` is a group of its own. ``overall`` adds sums over all rows of each ``by``.
     """
     overall = overall or {}
     tagged = with_range_cell(rows, order, cells)
@@ -75,7 +83,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_off_{out}") for out in totals],
         *[F.sum(f"_sum_{out}").over(whole).alias(out) for out in overall],
     )
-    joined = local.join(offsets, [*by, "_cell"])
+    joined = local.join(*_same_group(by, "_cell", offsets))
     return joined.select(
         *[F.col(c) for c in rows.columns],
         *[(F.col(f"_in_{out}") + F.col(f"_off_{out}")).alias(out) for out in totals],
@@ -142,7 +150,7 @@ def latest_before(
 
     ``chunk`` must not fall as ``order`` rises (a day, a block of row numbers); it bounds
     what one task sorts, so a hot key spreads over its chunks. With a value that is never
-    null this is a lag; with gaps it carries the last value forward.
+    null this is a lag; with gaps it carries the last value forward. A null key is a key of its own.
     """
     by = list(by)
     tagged = rows.withColumn("_carry_chunk", chunk).withColumn("_carried", value)
@@ -156,7 +164,7 @@ def latest_before(
     )
     before = Window.partitionBy(*by).orderBy("_carry_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.select(*by, "_carry_chunk", F.last("_tail", ignorenulls=True).over(before).alias("_far"))
-    return local.join(carried, [*by, "_carry_chunk"], "left").select(
+    return local.join(*_same_group(by, "_carry_chunk", carried), "left").select(
         *[F.col(c) for c in rows.columns], F.coalesce("_near", "_far").alias(out)
     )
 
