@@ -152,13 +152,17 @@ def fit(data: np.ndarray, cuts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarr
 
 
 def fitted(labelled: DataFrame, text: str, toxic: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fit in one task on the ``sample`` labelled texts that come first in hash order."""
+    """Fit in one task on the ``sample`` distinct labelled texts that come first in hash order."""
     def run(table: pa.Table) -> pa.Table:
         weights, moves = fit(*bytes_of(table["_text"]), table["_toxic"].to_numpy().astype(bool))
         return pa.table({"w": [weights.astype("<f4").tobytes()], "m": [moves.astype("<f8").tobytes()]})
 
     rows = labelled.select(F.col(text).alias("_text"), F.col(toxic).cast("int").alias("_toxic")).where("_toxic is not null")
-    chosen = rows.orderBy(F.xxhash64("_text"), "_toxic").limit(sample)
+    # copies teach once: distinct texts (96 bits of them) with a label are chosen by hash alone, then one row of each is read
+    keys = ["_hash", "_check", "_toxic"]
+    marked = rows.select("*", F.xxhash64("_text").alias("_hash"), F.hash("_text").alias("_check"))
+    first = marked.select(*keys).distinct().orderBy(*keys).limit(sample)
+    chosen = marked.join(F.broadcast(first), keys).dropDuplicates(keys).select("_text", "_toxic")
     made = chosen.groupBy(F.lit(0).alias("_all")).applyInArrow(run, "w binary, m binary").first()
     if made is None:
         return np.zeros(SLOTS, np.float32), np.array([[0.0, -30.0], [0.0, -30.0]])
@@ -175,8 +179,8 @@ def toxicity(
 ) -> DataFrame:
     """The ``carry`` columns, score, predicted and the toxic spans of every whole text.
 
-    ``labelled`` holds texts and document labels; at most ``sample`` of them, first in hash order, fit the field
-    (a documented bound of the fit alone). Its tokens are labelled by ``tag``. The score of a document is the highest
+    ``labelled`` holds texts and document labels; at most ``sample`` distinct ones, first in hash order, fit the field
+    (a documented bound of the fit alone), each once, however many copies there are. Its tokens are labelled by ``tag``. The score of a document is the highest
     marginal of its tokens, the spans are the byte offsets of neighbouring tokens with a marginal of at least 0.5.
     Texts without tokens (null, empty, symbols) score 0; without toxic labels everything does. Labels that are null
     teach nothing. Only the text enters a score, so repeated rows score alike.
