@@ -162,6 +162,14 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.period_runs import period_runs, repeated_tails, run_digests
+
+    found = period_runs(repeated_tails(table(spark, folder, "documents")))
+    return found.select("doc_id", *run_digests())
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
