@@ -170,6 +170,13 @@ def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *run_digests())
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.prefix_trie import prefix_trie, shared_beginnings, turn_lists
+
+    return prefix_trie(shared_beginnings(turn_lists(table(spark, folder, "conversations"))))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
