@@ -177,6 +177,13 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(shared_beginnings(turn_lists(table(spark, folder, "conversations"))))
 
 
+@query
+def op13_neighbour_search(spark: SparkSession, folder: str) -> DataFrame:
+    from ebbtide.llm.neighbour_graph import nearest_found
+
+    return nearest_found(table(spark, folder, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
