@@ -1,19 +1,21 @@
 """Exact nearest neighbours and the resampling built on them.
 
-Base rows are placed in cells around pivot rows and cells are cut into blocks of bounded
-size. A query row visits only the cells that can hold one of its ``k`` nearest rows
-(triangle inequality on the distance to the pivot), so the result is exact. Tasks compare
-one block with one slice of the queries and pass on at most ``k`` candidates per query;
-no list of pairs is ever formed.
+Base rows are placed in cells around pivot rows, about as many cells as rows in a cell. A query row first searches the
+nearest cell that holds enough rows, which gives a true k-th distance. Then it visits only the cells that can hold a nearer row. A
+cell is cut into blocks by its rows and into slices by the queries that visit it, so a crowded one is spread. Tasks compare one
+block with one slice and pass on at most ``k`` candidates per query; no list of pairs is ever formed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,115 +25,233 @@ from ebbtide.operators.sampling import copies_needed
 from ebbtide.session import pin
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
-COMPARE_ROWS = 512  # queries compared with a block at a time
-TIE_SLACK = 1e-9
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
-def _place(frames: Iterator[pd.DataFrame], pivots: np.ndarray) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        if len(frame):
-            to_pivots = _distances(_matrix(frame["vec"]), pivots)
-            cell = to_pivots.argmin(1)
-            yield frame.assign(cell=cell.astype("int32"), reach=to_pivots[np.arange(len(frame)), cell])
-
-
-def _route(frames: Iterator[pd.DataFrame], pivots: np.ndarray, radius: np.ndarray, rows: np.ndarray, wanted: int) -> Iterator[pd.DataFrame]:
-    """Cells each query must visit."""
-    enough = rows >= wanted
-    for frame in frames:
-        if not len(frame):
-            continue
-        to_pivots = _distances(_matrix(frame["vec"]), pivots)
-        # all rows of a cell lie within distance + radius, so the nearest full cell bounds the k-th neighbour
-        bound = np.where(enough, to_pivots + radius, np.inf).min(1)
-        visit = (to_pivots - radius <= bound[:, None] * (1 + TIE_SLACK) + TIE_SLACK) & (rows > 0)
-        query, cell = np.nonzero(visit)
-        out = frame.iloc[query].reset_index(drop=True)
-        yield out.assign(cell=cell.astype("int32"))
-
-
-def _compare(k: int, itself: bool):
-    """The k nearest rows of one block for each query of one slice."""
-
-    def nearest_in_block(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+COMPARE = 1 << 22  # distances a task holds at a time
+NO_REACH = float("inf")
+_ROW = "id long, vec array<double>, kinds array<long>"
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by the product form and how far rounding can put each of them off."""
+    own, other = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+    off = (own + other) * (8 * (a.shape[1] + 4) * np.finfo(float).eps)
+    return np.maximum(own + other - 2.0 * a @ b.T, 0.0), off
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivot rows and what lies nearest to each: number of rows, largest distance; the largest squared norm of all rows."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
+    norm: float = 0.0
+
+    @property
+    def centre(self) -> np.ndarray:
+        """Distances are measured from here: a common offset costs no digits."""
+        return self.pivots.mean(axis=0)
+
+    def _steps(self, vectors: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        centre = self.centre
+        step = max(1, COMPARE // len(self.pivots))
+        for at in range(0, len(vectors), step):
+            part = slice(at, at + step)
+            yield part, *_squared(vectors[part] - centre, self.pivots - centre)
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest pivot of each row, the distance to it and the squared norm."""
+        cell = np.concatenate([far.argmin(1) for _, far, _ in self._steps(vectors)] or [np.zeros(0, int)])
+        away = vectors - self.pivots[cell]
+        return cell, np.sqrt((away * away).sum(1)), ((vectors - self.centre) ** 2).sum(1)
+
+    def first(self, vectors: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell): the nearest cell with ``wanted`` rows; every cell where none has as many."""
+        enough = self.rows >= wanted
+        if not enough.any():
+            cells = np.flatnonzero(self.rows)
+            return np.repeat(np.arange(len(vectors)), len(cells)), np.tile(cells, len(vectors))
+        cell = np.concatenate([np.where(enough, far, np.inf).argmin(1) for _, far, _ in self._steps(vectors)] or [np.zeros(0, int)])
+        return np.arange(len(vectors)), cell
+
+    def others(self, vectors: np.ndarray, bound: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell): the other cells that can hold a row within ``bound`` of a query.
+
+        A row lies within the radius of its pivot, and no nearer to any other pivot than to its own: so it is also at least as far
+        away as the plane halfway between the pivots. Rounding makes both bounds smaller, never larger.
+        """
+        query, cell = self.first(vectors, wanted)
+        queries, cells = [np.zeros(0, int)], [np.zeros(0, int)]
+        slack = 8 * (vectors.shape[1] + 4) * np.finfo(float).eps
+        for part, far, off in self._steps(vectors):
+            reach = np.sqrt(np.maximum(far - off, 0.0)) - self.radius
+            nearest = far.argmin(1)
+            chosen, back = np.unique(nearest, return_inverse=True)
+            apart = np.sqrt(np.maximum(_squared(self.pivots[chosen] - self.centre, self.pivots - self.centre)[0], 0.0))[back]
+            spare = off + np.take_along_axis(off, nearest[:, None], 1) + 4 * slack * self.norm
+            plane = (far - np.take_along_axis(far, nearest[:, None], 1) - spare) / np.maximum(2 * apart, np.finfo(float).tiny)
+            plane = np.where(apart > np.sqrt(slack * self.norm), plane, 0.0)
+            limit = bound[part][:, None] * (1 + slack)
+            visit = (np.maximum(reach, plane * (1 - 1e-6)) <= limit) & (self.rows > 0)
+            mine = (query >= part.start) & (query < part.stop)
+            visit[query[mine] - part.start, cell[mine]] = False
+            row, column = np.nonzero(visit)
+            queries.append(row + part.start)
+            cells.append(column)
+        return np.concatenate(queries), np.concatenate(cells)
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many category codes differ, for every pair of rows."""
+    return sum(((x[:, None] != y[None, :]) for x, y in zip(a.T, b.T)), np.zeros((len(a), len(b)), dtype=int))
+
+
+def _nearest_in_block(k: int, itself: bool, penalty: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest rows of one block, within its bound, for each query of one slice."""
+    def compare(queries: pa.Table, block: pa.Table) -> pa.Table:
         own, other, far = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
-        if len(queries) and len(block):
-            block = block.sort_values("id")
-            ids, base = block["id"].to_numpy(), _matrix(block["vec"])
-            for start in range(0, len(queries), COMPARE_ROWS):
-                part = queries.iloc[start:start + COMPARE_ROWS]
-                names, vectors = part["id"].to_numpy(), _matrix(part["vec"])
-                rough = _distances(vectors, base)
+        if queries.num_rows and block.num_rows:
+            ids, base, kinds = block["id"].to_numpy(), _matrix(block["vec"]), _matrix(block["kinds"])
+            centre = base.mean(axis=0)
+            step = max(1, COMPARE // len(ids))
+            for at in range(0, queries.num_rows, step):
+                part = queries.slice(at, step)
+                names, vectors, bound = part["id"].to_numpy(), _matrix(part["vec"]), part["bound"].to_numpy()
+                rough, off = _squared(vectors - centre, base - centre)
+                if penalty:
+                    rough += penalty * _differing(_matrix(part["kinds"]), kinds)
                 if itself:
                     rough[names[:, None] == ids[None, :]] = np.inf
                 keep = min(k, rough.shape[1])
-                limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-                # the product form is inexact: measure everything near the limit again
-                row, column = np.nonzero((rough <= limit[:, None] + 1e-6) & np.isfinite(rough))
-                exact = np.sqrt(((base[column] - vectors[row]) ** 2).sum(1))
+                # the product form is inexact: measure everything that may be within the limit again
+                limit = np.minimum(np.partition(rough + off, keep - 1, axis=1)[:, keep - 1], bound * bound * (1 + 1e-12))
+                row, column = np.nonzero((rough - off <= limit[:, None]) & np.isfinite(rough))
+                exact = ((base[column] - vectors[row]) ** 2).sum(1)
+                if penalty:
+                    exact += penalty * (kinds[column] != _matrix(part["kinds"])[row]).sum(1)
+                exact = np.sqrt(exact)
                 order = np.lexsort((ids[column], exact, row))
                 row, column, exact = row[order], column[order], exact[order]
-                starts = np.searchsorted(row, np.arange(len(part)))
+                starts = np.searchsorted(row, np.arange(part.num_rows))
                 best = np.arange(len(row)) - starts[row] < k
                 own.append(names[row[best]])
                 other.append(ids[column[best]])
                 far.append(exact[best])
-        return pd.DataFrame({"id": np.concatenate(own), "neighbour": np.concatenate(other), "distance": np.concatenate(far)})
-
-    return nearest_in_block
+        return pa.table({"id": np.concatenate(own), "neighbour": np.concatenate(other), "distance": np.concatenate(far)})
+
+    return compare
+
+
+class Search:
+    """The two rounds of a neighbour search over base rows that are placed once."""
+
+    def __init__(
+        self, queries: DataFrame, base: DataFrame, k: int, row_id: str, vector: str, itself: bool, block_rows: int,
+        categories: Sequence[str] = (), penalty: float = 0.0,
+    ) -> None:
+        def shaped(frame: DataFrame) -> DataFrame:
+            whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
+            kinds = F.array(*[F.xxhash64(c) for c in categories]).cast("array<bigint>")
+            return frame.select(
+                F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"), kinds.alias("kinds")
+            ).where(F.col("vec").isNotNull() & whole)
+
+        self.left, right = shaped(queries), shaped(base)
+        self.k, self.itself, self.block_rows, self.wanted = k, itself, block_rows, k + 1 if itself else k
+        self.penalty = penalty if categories else 0.0
+        rows = right.count()
+        # as many pivots as rows in a cell, and below one row of numbers per cell, reach the driver
+        wanted = math.ceil(math.sqrt(rows))
+        drawn = right.orderBy(F.xxhash64("id"), "id").limit(2 * wanted).select("vec").collect()
+        distinct = list(dict.fromkeys(tuple(r["vec"]) for r in drawn))[:wanted]
+        self.empty = not distinct
+        if self.empty:
+            return
+        cells = Cells(np.array(distinct, dtype=np.float64), np.zeros(len(distinct), int), np.zeros(len(distinct)))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, reach, norm = cells.place(_matrix(batch.column("vec")))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(reach), pa.array(norm)],
+                    ["id", "vec", "kinds", "cell", "reach", "norm"])
+
+        self.placed = pin(right.mapInArrow(place, f"{_ROW}, cell int, reach double, norm double"))
+        stats = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r"), F.max("norm").alias("m")).collect()
+        for r in stats:
+            cells.rows[r.cell], cells.radius[r.cell] = r.n, r.r * (1 + 1e-12)
+        self.cells = Cells(cells.pivots, cells.rows, cells.radius, max((r.m for r in stats), default=0.0))
+
+    def _visits(self, asked: DataFrame, route: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    query, cell = route(_matrix(batch.column("vec")), batch.column("bound").to_numpy())
+                    for at in range(0, len(query), 1 << 14):
+                        part = batch.take(pa.array(query[at:at + (1 << 14)]))
+                        yield pa.RecordBatch.from_arrays(
+                            [*part.columns, pa.array(cell[at:at + (1 << 14)].astype(np.int32))], ["id", "vec", "kinds", "bound", "cell"])
+
+        return asked.select("id", "vec", "kinds", "bound").mapInArrow(run, f"{_ROW}, bound double, cell int")
+
+    def first(self) -> DataFrame:
+        """Every query with the cell it searches first."""
+        cells, wanted = self.cells, self.wanted
+        return self._visits(self.left.withColumn("bound", F.lit(NO_REACH)), lambda v, _: cells.first(v, wanted))
+
+    def second(self, found: DataFrame) -> DataFrame:
+        """Every query with the other cells that can hold a row as near as the k-th one ``found``."""
+        cells, wanted = self.cells, self.wanted
+        full = F.count(F.lit(1)) == self.k
+        bounds = found.groupBy("id").agg(F.when(full, F.max("distance")).otherwise(F.lit(NO_REACH)).alias("bound"))
+        asked = self.left.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(NO_REACH)))
+        return self._visits(asked, lambda v, b: cells.others(v, b, wanted))
+
+    def measured(self, visits: DataFrame) -> DataFrame:
+        """Candidates of all visits: at most k rows per query and block, whichever cell is crowded."""
+        asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        pieces = lambda n, size: max(1, math.ceil(int(n) / size))
+        loads = [(c, pieces(self.cells.rows[c], self.block_rows), pieces(n, 4 * self.block_rows)) for c, n in asked.items()]
+        # a row per visited cell
+        loads = self.left.sparkSession.createDataFrame(loads, "cell int, blocks int, slices int")
+        in_block = self.placed.join(loads, "cell").select(
+            "id", "vec", "kinds", "cell", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        to_block = visits.join(loads, "cell").select(
+            "id", "vec", "kinds", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"))
+        keys = ["cell", "block", "slice"]
+        return to_block.groupBy(*keys).cogroup(in_block.groupBy(*keys)).applyInArrow(
+            _nearest_in_block(self.k, self.itself, self.penalty), "id bigint, neighbour bigint, distance double")
+
+    def best(self, candidates: DataFrame) -> DataFrame:
+        order = Window.partitionBy("id").orderBy("distance", "neighbour")
+        return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.k)
 
 
 def nearest(
     queries: DataFrame, base: DataFrame, k: int, *, row_id: str, vector: str, itself: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, categories: Sequence[str] = (), penalty: float = 0.0,
 ) -> DataFrame:
     """The ``k`` nearest base rows of every query row: id, neighbour, distance, place (1..k).
 
-    Ties go to the smaller neighbour id. With ``itself`` a row is no neighbour of its own.
+    Ties go to the smaller neighbour id. With ``itself`` a row is no neighbour of its own. Vectors that are null or
+    hold null or NaN take no part. Every column of ``categories`` that differs adds ``penalty`` to the squared
+    distance; null is a category. The numbers alone are never farther apart, so they still rule out cells.
     """
-    def shaped(frame: DataFrame) -> DataFrame:
-        return frame.select(F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-
-    left, right = shaped(queries), shaped(base)
-    rows = right.count()
-    pivot_count = max(1, min(MAX_PIVOTS, math.ceil(rows / block_rows)))
-    # a fixed number of pivot rows and, below, one statistics row per pivot reach the driver
-    chosen = right.orderBy(F.xxhash64("id"), "id").limit(pivot_count).select("vec").collect()
-    empty = left.select("id", F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("distance"),
-                        F.lit(None).cast("int").alias("place")).where(F.lit(False))
-    if not chosen:
-        return empty
-    pivots = np.array([r["vec"] for r in chosen], dtype=np.float64)
-    placed = right.mapInPandas(lambda it: _place(it, pivots), "id bigint, vec array<double>, cell int, reach double")
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()}
-    radius = np.array([stats[c]["r"] if c in stats else 0.0 for c in range(len(pivots))])
-    sizes = np.array([stats[c]["n"] if c in stats else 0 for c in range(len(pivots))])
-    wanted = k + 1 if itself else k
-    routed = left.mapInPandas(lambda it: _route(it, pivots, radius, sizes, wanted), "id bigint, vec array<double>, cell int")
-
-    blocks = F.create_map(*[F.lit(x) for c, n in enumerate(sizes) for x in (c, max(1, math.ceil(int(n) / block_rows)))])
-    slices = max(1, math.ceil(left.count() / (4 * block_rows)))
-    in_block = placed.select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    to_block = routed.select(
-        "id", "vec", "cell", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    keys = ["cell", "block", "slice"]
-    candidates = to_block.groupBy(*keys).cogroup(in_block.groupBy(*keys)).applyInPandas(
-        _compare(k, itself), "id bigint, neighbour bigint, distance double")
-    best = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    search = Search(queries, base, k, row_id, vector, itself, block_rows, categories, penalty)
+    if search.empty:
+        return search.left.select(
+            "id", F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("distance"),
+            F.lit(None).cast("int").alias("place")).where(F.lit(False))
+    found = pin(search.best(search.measured(search.first())))
+    rest = search.measured(pin(search.second(found)))
+    return search.best(found.drop("place").unionByName(rest))
 
 
 def majority_share(neighbours: DataFrame, labels: DataFrame, row_id: str, label: str, minority: int, k: int) -> DataFrame:
@@ -153,6 +273,45 @@ def adasyn_plan(rows: DataFrame, row_id: str, vector: str, label: str, minority:
     return wide.select("id", "majority_share", weight.alias("weight"), F.bround(weight * extra, 0).cast("bigint").alias("synthetic"))
 
 
+def allocated(hits: DataFrame, wanted: Column, seed: str) -> DataFrame:
+    """(id, hits, copies): ``wanted`` copies dealt over the rows in proportion to ``hits``, by largest remainder.
+
+    All in whole numbers: a row gets hits * wanted div total; what is left over goes, one each, to the rows of largest remainder, of
+    equal remainders to those of most hits, among rows of equal hits in pseudo-random order. The copies add up to
+    ``wanted`` unless no row has a hit. There are few distinct hits: only their counts are ordered in one place.
+    """
+    ranked = hash_rank(hits, "id", seed, ["hits"], out="_rank")
+    kinds = hits.groupBy("hits").agg(F.count(F.lit(1)).alias("_n")).withColumn("_wanted", wanted)
+    total = F.sum(F.col("hits") * F.col("_n")).over(Window.partitionBy(F.lit(0)))
+    kinds = kinds.withColumn("_total", total).where("_total > 0")
+    kinds = kinds.withColumns({
+        "_each": F.expr("hits * _wanted div _total"), "_rest": F.expr("hits * _wanted % _total")})
+    given = F.sum(F.col("_each") * F.col("_n")).over(Window.partitionBy(F.lit(0)))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_rest").desc(), F.col("hits").desc()).rowsBetween(
+        Window.unboundedPreceding, -1))
+    kinds = kinds.select("hits", "_each", (F.col("_wanted") - given - F.coalesce(before, F.lit(0))).alias("_left"))
+    extra = (F.col("_rank") <= F.col("_left")).cast("bigint")
+    return ranked.join(kinds, "hits", "left").select("id", "hits", F.coalesce(F.col("_each") + extra, F.lit(0)).alias("copies"))
+
+
+def adasyn_copies(rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5) -> DataFrame:
+    """(id, hits, copies): how many synthetic rows each minority row seeds, by its neighbours of other classes.
+
+    Together they make both classes equally large; where no minority row has such a neighbour, there are none.
+    """
+    few = rows.where(F.col(label) == minority)
+    near = nearest(few, rows, k, row_id=row_id, vector=vector, itself=True)
+    of = rows.select(F.col(row_id).alias("neighbour"), F.col(label).alias("_their"))
+    hits = near.join(of, "neighbour").groupBy("id").agg(F.count_if(~F.col("_their").eqNullSafe(F.lit(minority))).alias("hits"))
+    return allocated(hits, _class_gap(rows, label, minority), seed)
+
+
+def _class_gap(rows: DataFrame, label: str, minority: int) -> Column:
+    """How many rows the minority class lacks; null labels are no class."""
+    few, many = F.count_if(F.col(label) == minority), F.count_if(F.col(label) != minority)
+    return rows.agg(F.greatest(many - few, F.lit(0))).scalar()
+
+
 def danger_rows(shares: DataFrame) -> DataFrame:
     """Borderline seeds: at least half, but not all, neighbours belong to the other class."""
     return shares.where((F.col("majority_share") >= 0.5) & (F.col("majority_share") < 1.0))
@@ -166,27 +325,15 @@ def interpolate(a: Column, b: Column, alpha: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + alpha * (y - x))
 
 
-def smote(
-    rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5,
-    categories: Sequence[str] = (), seeds: DataFrame | None = None,
+def _between_neighbours(
+    seeded: DataFrame, start: DataFrame, few: DataFrame, row_id: str, vector: str, seed: str, k: int, categories: Sequence[str],
+    penalty: float,
 ) -> DataFrame:
-    """Synthetic minority rows between a row and one of its ``k`` nearest minority rows.
-
-    As many as the class sizes differ by, spread evenly over the seed rows. Categories
-    take the most frequent value among the neighbours, the smallest on a tie.
-    """
-    few = rows.where(F.col(label) == minority)
-    start = few if seeds is None else few.join(seeds.select(F.col("id").alias(row_id)), row_id, "left_semi")
-    counted = rows.agg(F.count_if(F.col(label) == minority).alias("few"), F.count_if(F.col(label) != minority).alias("many"))
-    extra = F.greatest(F.col("_c.many") - F.col("_c.few"), F.lit(0))
-    ranked = hash_rank(start.select(row_id, vector), row_id, seed, out="_rank", size_out="_size").withColumn(
-        "_c", counted.select(F.struct("few", "many")).scalar())
-    copies = copies_needed(F.col("_rank"), F.col("_size"), extra)
-    seeded = ranked.select(
-        F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(0)))).alias("copy"), copies.alias("_copies"),
-    ).where(F.col("copy") <= F.col("_copies")).drop("_copies")
-    around = nearest(start, few, k, row_id=row_id, vector=vector, itself=True).select("id", "neighbour", "place")
+    """A row on the way from each seed (id, vec, copy) to one of its nearest minority rows, drawn by hash."""
+    around = nearest(
+        start, few, k, row_id=row_id, vector=vector, itself=True, categories=categories, penalty=penalty
+    ).select("id", "neighbour", "place")
+    around = pin(around) if categories else around
     known = around.groupBy("id").agg(F.max("place").alias("found"))
     drawn = seeded.join(known, "id").withColumn(
         "place", (hash_number(_draw(seed + ":pick", "id", "copy")) % F.col("found") + 1).cast("int")).withColumn(
@@ -201,6 +348,78 @@ def smote(
     return made
 
 
+def _copies(rows: DataFrame, copies: Column) -> DataFrame:
+    """(id, vec) once for every copy, numbered from 1."""
+    return rows.select(
+        "id", "vec", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(0)))).alias("copy"), copies.alias("_copies"),
+    ).where(F.col("copy") <= F.col("_copies")).drop("_copies")
+
+
+def smote(
+    rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5,
+    categories: Sequence[str] = (), seeds: DataFrame | None = None, penalty: float = 0.0,
+) -> DataFrame:
+    """Synthetic minority rows between a row and one of its ``k`` nearest minority rows.
+
+    As many as the class sizes differ by, spread evenly over the seed rows. Categories
+    take the most frequent value among the neighbours, the smallest on a tie.
+    """
+    few = rows.where(F.col(label) == minority)
+    start = few if seeds is None else few.join(seeds.select(F.col("id").alias(row_id)), row_id, "left_semi")
+    ranked = hash_rank(start.select(row_id, vector), row_id, seed, out="_rank", size_out="_size").withColumn(
+        "_extra", _class_gap(rows, label, minority))
+    vectors = ranked.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"), "_rank", "_size", "_extra")
+    seeded = _copies(vectors, copies_needed(F.col("_rank"), F.col("_size"), F.col("_extra")))
+    return _between_neighbours(seeded, start, few, row_id, vector, seed, k, categories, penalty)
+
+
+def median_deviation(rows: DataFrame, vector: str) -> float:
+    """The median, over the components of a vector column, of their standard deviation over all rows; 0 without rows."""
+    both = rows.select(Summarizer.metrics("variance", "count").summary(array_to_vector(F.col(vector).cast("array<double>"))).alias("s"))
+    found = both.select("s.variance", "s.count").first()
+    if not found["count"]:
+        return 0.0
+    # over the rows themselves, not as a sample of more
+    return float(np.median(np.sqrt(found["variance"].toArray() * (found["count"] - 1) / found["count"])))
+
+
+#: Fixed value: each of the two indicator columns of a differing category is off by half the median deviation.
+CATEGORY_SHARE = 0.5
+
+
+def smotenc(
+    rows: DataFrame, row_id: str, vector: str, categories: Sequence[str], label: str, minority: int, seed: str, k: int = 5
+) -> DataFrame:
+    """Synthetic minority rows of numbers and categories: a differing category counts as a distance, too.
+
+    It adds half the squared median deviation of the minority's numeric components to the squared distance. Without categories this
+    is ``smote``.
+    """
+    deviation = median_deviation(rows.where(F.col(label) == minority), vector) if categories else 0.0
+    return smote(rows, row_id, vector, label, minority, seed, k, categories, penalty=CATEGORY_SHARE * deviation ** 2)
+
+
+def adasyn(
+    rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5, categories: Sequence[str] = ()
+) -> DataFrame:
+    """Synthetic minority rows, more of them where a row's neighbours are of other classes (``adasyn_copies``)."""
+    few = rows.where(F.col(label) == minority)
+    copies = pin(adasyn_copies(rows, row_id, vector, label, minority, seed, k)).where("copies > 0").select("id", "copies")
+    vectors = few.select(F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec")).join(copies, "id")
+    start = few.join(copies.select(F.col("id").alias(row_id)), row_id, "left_semi")
+    return _between_neighbours(_copies(vectors, F.col("copies")), start, few, row_id, vector, seed, k, categories, 0.0)
+
+
+def borderline_smote(
+    rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5, around: int = 10
+) -> DataFrame:
+    """Synthetic rows from the seeds in danger: at least half, but not all, of ``around`` neighbours are of other classes."""
+    few = rows.where(F.col(label) == minority)
+    near = nearest(few, rows, around, row_id=row_id, vector=vector, itself=True)
+    seeds = pin(danger_rows(majority_share(near, rows, row_id, label, minority, around)))
+    return smote(rows, row_id, vector, label, minority, seed, k, seeds=seeds)
+
+
 def with_synthetic(rows: DataFrame, made: DataFrame, row_id: str, vector: str, label: str, minority: int) -> DataFrame:
     """Original and synthetic rows in one table; synthetic ids are negative, originals must not be."""
     most = made.agg(F.max("copy")).scalar()
@@ -216,13 +435,12 @@ def with_synthetic(rows: DataFrame, made: DataFrame, row_id: str, vector: str, l
 def smote_cleaned(
     rows: DataFrame, row_id: str, vector: str, label: str, minority: int, seed: str, k: int = 5, by: str = "edited"
 ) -> DataFrame:
-    """Oversample, then drop rows the neighbours outvote (``edited``) or rows in Tomek pairs (``tomek``)."""
+    """Oversample, then drop rows with a neighbour of the other class (``edited``) or in Tomek pairs (``tomek``)."""
     if by not in ("edited", "tomek"):
         raise ValueError(f"unknown cleaning {by!r}")
     # the enlarged table is compared with itself: written once
     full = pin(with_synthetic(rows, smote(rows, row_id, vector, label, minority, seed, k), row_id, vector, label, minority))
-    clean = edited if by == "edited" else without_tomek
-    return clean(full, row_id, vector, label)
+    return edited(full, row_id, vector, label, rule="all") if by == "edited" else without_tomek(full, row_id, vector, label)
 
 
 def tomek_links(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
@@ -236,14 +454,17 @@ def tomek_links(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFr
         "id", "neighbour", "distance", "label", "other_label")
 
 
-def edited(rows: DataFrame, row_id: str, vector: str, label: str, k: int = 3) -> DataFrame:
-    """Rows whose class wins the vote of their ``k`` nearest rows (the others are dropped)."""
+def edited(rows: DataFrame, row_id: str, vector: str, label: str, k: int = 3, rule: str = "vote") -> DataFrame:
+    """Rows whose class wins the ``vote`` of their ``k`` nearest rows, or is that of ``all`` of them."""
+    if rule not in ("vote", "all"):
+        raise ValueError(f"unknown rule {rule!r}")
     around = nearest(rows, rows, k, row_id=row_id, vector=vector, itself=True)
     theirs = rows.select(F.col(row_id).alias("neighbour"), F.col(label).alias("_their"))
     mine = rows.select(F.col(row_id).alias("id"), F.col(label).alias("_mine"))
     votes = around.join(theirs, "neighbour").join(mine, "id").groupBy("id").agg(
         F.count_if(F.col("_their") == F.col("_mine")).alias("_same"), F.count(F.lit(1)).alias("_all"))
-    kept = votes.where(F.col("_same") * 2 > F.col("_all")).select(F.col("id").alias(row_id))
+    wins = F.col("_same") * 2 > F.col("_all") if rule == "vote" else F.col("_same") == F.col("_all")
+    kept = votes.where(wins).select(F.col("id").alias(row_id))
     return rows.join(kept, row_id, "left_semi")
 
 

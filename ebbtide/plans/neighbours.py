@@ -87,3 +87,72 @@ def smote(feeds: Feeds) -> DataFrame:
     made = nn.smote(vectors(feeds), "vec_id", "vec", "y", 0, SEED)
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return rounded(made.select("id", "copy", "neighbour", "alpha", F.col("vec")[0].alias("first_value"), total.alias("vector_sum")))
+
+
+# ---- numbers and categories ---------------------------------------------------------
+
+_MIXED = """SELECT c_custkey AS id, [c_acctbal / 1000e0, CAST(COUNT(*) AS DOUBLE), MAX(o_totalprice) / 100000e0] AS vec, c_mktsegment AS segment,
+  n_name AS city, ANY_VALUE(is_churn) AS y FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey
+JOIN churn_labels l ON l.entity_id = c_custkey GROUP BY c_custkey, c_acctbal, c_mktsegment, n_name"""
+
+
+def mixed_rows(feeds: Feeds) -> DataFrame:
+    """Customers with three numbers, two categories and the churn label."""
+    orders = feeds.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("o_totalprice").alias("_most"))
+    places = feeds.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
+    labels = feeds.churn_labels().select(F.col("entity_id").alias("id"), F.col("is_churn").alias("y"))
+    vec = F.array(F.col("c_acctbal") / 1000.0, F.col("_n").cast("double"), F.col("_most") / 100000.0)
+    return feeds.table("customer").withColumnRenamed("c_custkey", "id").join(orders, "id").join(places, "c_nationkey").join(labels, "id").select(
+        "id", vec.alias("vec"), F.col("c_mktsegment").alias("segment"), "city", "y")
+
+
+_SYNTHETIC = """SELECT s.id, s.copy, n.neighbour, ROUND(s.alpha, 6) AS alpha, ROUND(a.vec[1] + s.alpha * (b.vec[1] - a.vec[1]), 6) AS first_value,
+  ROUND(LIST_SUM(a.vec) + s.alpha * (LIST_SUM(b.vec) - LIST_SUM(a.vec)), 6) AS vector_sum{more}
+FROM (SELECT *, {pick} % 5 + 1 AS pick, {alpha} / 4294967296e0 AS alpha FROM sd) s
+JOIN n ON n.id = s.id AND n.place = s.pick JOIN few a ON a.{key} = s.id JOIN few b ON b.{key} = n.neighbour{joins}"""
+
+
+def _synthetic(key: str, more: str = "", joins: str = "") -> str:
+    return _SYNTHETIC.format(key=key, more=more, joins=joins, pick=_hash_sql(SEED + ":pick"), alpha=_hash_sql(SEED + ":alpha"))
+
+
+_APART = ("SQRT(POW(LIST_DISTANCE(a.vec, b.vec), 2) + 0.5e0 * d * d * (CAST(a.segment <> b.segment AS INT) + CAST(a.city <> b.city AS INT)))")
+
+
+def _mode(c: str) -> str:
+    return (f"SELECT id, {c} FROM (SELECT n.id, f.{c}, ROW_NUMBER() OVER (PARTITION BY n.id ORDER BY COUNT(*) DESC, f.{c}) AS rn "
+            f"FROM n JOIN few f ON f.id = n.neighbour GROUP BY n.id, f.{c}) WHERE rn = 1")
+
+
+@query(statement("churn_labels", _synthetic("id", ", g.segment, c.city", " JOIN ms g ON g.id = s.id JOIN mc c ON c.id = s.id"),
+                 mx=_MIXED, few="SELECT * FROM mx WHERE y = 0",
+                 dv="SELECT MEDIAN(s) AS d FROM (" + " UNION ALL ".join(f"SELECT STDDEV_POP(vec[{i}]) AS s FROM few" for i in (1, 2, 3)) + ")",
+                 n=f"""SELECT * FROM (SELECT a.id, b.id AS neighbour, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY {_APART}, b.id) AS place
+  FROM few a CROSS JOIN few b CROSS JOIN dv WHERE a.id <> b.id) WHERE place <= 5""",
+                 rk=f"""SELECT id, ROW_NUMBER() OVER (ORDER BY MD5('{SEED}:' || id), id) AS r, COUNT(*) OVER () AS m,
+  (SELECT COUNT(*) FROM mx WHERE y = 1) - (SELECT COUNT(*) FROM mx WHERE y = 0) AS extra FROM few""",
+                 sd="""SELECT id, g.copy FROM rk,
+  LATERAL (SELECT UNNEST(RANGE(1, extra // m + CASE WHEN r <= extra % m THEN 1 ELSE 0 END + 1)) AS copy) g""",
+                 ms=_mode("segment"), mc=_mode("city")))
+def smotenc(feeds: Feeds) -> DataFrame:
+    """Synthetic customers of the smaller class between neighbours by numbers and categories."""
+    made = nn.smotenc(mixed_rows(feeds), "id", "vec", ["segment", "city"], "y", 0, SEED)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return rounded(made.select(
+        "id", "copy", "neighbour", "alpha", F.col("vec")[0].alias("first_value"), total.alias("vector_sum"), "segment", "city"))
+
+
+@query(statement("", _synthetic("vec_id"), **_V, few="SELECT * FROM v WHERE y = 0", around=_knn("few", "v", 5, True),
+                 hit="SELECT o.id, COUNT(*) FILTER (v.y <> 0) AS hits FROM around o JOIN v ON v.vec_id = o.neighbour GROUP BY o.id",
+                 gap="SELECT GREATEST((SELECT COUNT(*) FROM v WHERE y <> 0) - (SELECT COUNT(*) FROM v WHERE y = 0), 0) AS wanted, SUM(hits) AS total FROM hit",
+                 al=f"""SELECT id, CAST(hits * wanted // total AS BIGINT) AS each, wanted, ROW_NUMBER() OVER (
+    ORDER BY hits * wanted % total DESC, hits DESC, MD5('{SEED}:' || id), id) AS turn FROM hit, gap WHERE total > 0""",
+                 cp="SELECT id, each + CASE WHEN turn <= wanted - (SELECT SUM(each) FROM al) THEN 1 ELSE 0 END AS copies FROM al",
+                 n=_knn("few", "few", 5, True),
+                 sd="SELECT id, g.copy FROM cp, LATERAL (SELECT UNNEST(RANGE(1, copies + 1)) AS copy) g"))
+def adasyn(feeds: Feeds) -> DataFrame:
+    """Synthetic rows of the smaller class, more where its rows have neighbours of other classes."""
+    made = nn.adasyn(vectors(feeds), "vec_id", "vec", "y", 0, SEED)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return rounded(made.select("id", "copy", "neighbour", "alpha", F.col("vec")[0].alias("first_value"), total.alias("vector_sum")))
