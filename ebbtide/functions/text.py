@@ -87,7 +87,7 @@ def hash_token(seed: str, *ids: Column | str) -> Column:
 
 
 def hash_number(token: Column, digits: int = 8) -> Column:
-    """The leading hex digits of a token as a bigint."""
+    """The leading hex digits of a token, 15 at most, as a bigint."""
     return F.conv(F.substring(token, 1, digits), 16, 10).cast("bigint")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
@@ -112,6 +114,49 @@ def balanced_bagging(train: DataFrame, make: Factory, row_id: str, label: str, d
     return out
 
 
+def boosted_on_draws(
+    train: DataFrame, make: Factory, row_id: str, label: str, rounds: int, rate: float = 0.03, seed: str = "42"
+) -> tuple[list[tuple[Model, float]], DataFrame]:
+    """Boosting in which every round fits a balanced draw: the models with their votes, and the last row weights.
+
+    All rows begin with equal weights, which add up to 1. A round fits a draw of the rows with their weights and asks the model for the classes of
+    all rows: its error e is the weight of the rows it gets wrong, its vote ``rate`` * ln((1 - e) / e). Wrong rows then weigh
+    exp(vote) times as much. A model without an error votes 1 and ends the rounds, one no better than chance ends them without
+    a vote. The weights are a column that is written every round. Rows without a label take no part.
+    """
+    known = train.where(F.col(label).isNotNull())
+    size = known.agg(F.count(F.lit(1))).scalar()
+    state, out = pin(known.drop(WEIGHT).withColumn(WEIGHT, 1.0 / size)), []
+    for i in range(rounds):
+        model = make(label).fit(balanced_sample(state, row_id, label, f"{seed}:{i}"))
+        judged = model.transform(state).select(*state.columns, (F.col("prediction") != F.col(label)).cast("double").alias("_wrong"))
+        error = judged.agg((F.sum(F.col(WEIGHT) * F.col("_wrong")) / F.sum(WEIGHT)).alias("e")).first()["e"]
+        if error is None or error >= 0.5:
+            break
+        if error <= 0.0:
+            out.append((model, 1.0))
+            break
+        vote = rate * math.log((1.0 - error) / error)
+        out.append((model, vote))
+        # the weights add up to 1 before: wrong ones now hold error * exp(vote) of the total
+        total = 1.0 + error * (math.exp(vote) - 1.0)
+        state = pin(judged.withColumn(WEIGHT, F.col(WEIGHT) * F.exp(F.lit(vote) * F.col("_wrong")) / F.lit(total)).drop("_wrong"))
+    return out, state.select(row_id, WEIGHT)
+
+
+def voted_score(rows: DataFrame, voters: Sequence[tuple[Model, float]], out: str = "score") -> DataFrame:
+    """The share of the votes that go to the positive class."""
+    if not voters:
+        raise ValueError("no model was better than chance")
+    names, before = [f"_p{i}" for i in range(len(voters))], rows.columns
+    done = rows
+    for name, (model, _) in zip(names, voters):
+        done = model.transform(done).select(*done.columns, F.col("prediction").alias(name))
+    total = sum(v for _, v in voters)
+    votes = reduce(lambda a, b: a + b, [F.when(F.col(n) == 1, F.lit(v)).otherwise(F.lit(0.0)) for n, (_, v) in zip(names, voters)])
+    return done.select(*before, (votes / total).alias(out))
+
+
 def out_of_fold_scores(train: DataFrame, make: Factory, row_id: str, label: str, folds: int = 3, seed: str = "42", out: str = "score") -> DataFrame:
     """Every training row scored by the model that did not see its fold.
 
@@ -201,6 +246,81 @@ def cross_validated(
     return search.fit(folded)
 
 
+#: The ranges of the published search, as (low, high) and the kind of draw.
+SEARCH_RANGES = {
+    "max_depth": (4, 8, "int"),
+    "learning_rate": (0.01, 0.10, "float"),
+    "scale_pos_weight": (3.0, 10.0, "float"),
+    "subsample": (0.6, 0.9, "float"),
+    "colsample": (0.6, 0.9, "float"),
+    "min_child_weight": (2, 10, "int"),
+}
+
+
+def parameter_draws(ranges: Mapping[str, tuple[float, float, str]], count: int, seed: int = 42) -> dict[str, dict[str, float]]:
+    """``count`` settings by name, each parameter drawn from its range: ``int``, ``float``, or ``log`` for even magnitudes."""
+    rng, out = random.Random(seed), {}
+    for i in range(count):
+        drawn = {}
+        for name, (low, high, kind) in ranges.items():
+            if kind == "int":
+                drawn[name] = rng.randint(int(low), int(high))
+            elif kind == "log":
+                drawn[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
+            elif kind == "float":
+                drawn[name] = rng.uniform(low, high)
+            else:
+                raise ValueError(f"unknown kind of draw {kind!r}")
+        out[f"draw_{i:03d}"] = drawn
+    return out
+
+
+def weight_grid(weights: Sequence[float], fixed: Mapping[str, float]) -> dict[str, dict[str, float]]:
+    """One setting per positive-class weight, the other parameters fixed."""
+    return {f"weight_{w:g}": {**fixed, "scale_pos_weight": float(w)} for w in weights}
+
+
+def boosting_of(setting: Mapping[str, float], label: str, rounds: int = 100, seed: int = 42) -> Estimator:
+    """Spark's boosting with the parameters of a setting; the class weight is a row weight, set by the caller."""
+    return GBTClassifier(
+        labelCol=label, weightCol=WEIGHT, featuresCol=FEATURES, maxIter=rounds, seed=seed, maxDepth=int(setting.get("max_depth", 5)),
+        stepSize=float(setting.get("learning_rate", 0.1)), subsamplingRate=float(setting.get("subsample", 1.0)),
+        minInstancesPerNode=int(setting.get("min_child_weight", 1)), featureSubsetStrategy=str(float(setting.get("colsample", 1.0))))
+
+
+def searched(
+    train: DataFrame, settings: Mapping[str, Mapping[str, float]], row_id: str, label: str, folds: int = 5, seed: str = "42",
+    make: Callable[[Mapping[str, float], str], Estimator] = boosting_of,
+) -> tuple[DataFrame, DataFrame]:
+    """(means, failures) of settings over fixed stratified folds.
+
+    Every setting is fitted on all folds but one and scores that one; the scores of all settings and folds are written once and
+    measured together. Positive rows weigh ``scale_pos_weight``. A setting that cannot be fitted leaves a row with its error.
+    """
+    spark = train.sparkSession
+    folded = stratified_folds(train.where(F.col(label).isNotNull()), row_id, label, seed, folds, out="_fold").persist()
+    parts, failures = [], []
+    try:
+        for name, setting in settings.items():
+            weight = F.when(F.col(label) == 1, F.lit(float(setting.get("scale_pos_weight", 1.0)))).otherwise(F.lit(1.0))
+            weighted = folded.withColumn(WEIGHT, weight)
+            try:
+                own = []
+                for k in range(folds):
+                    model = make(setting, label).fit(weighted.where(F.col("_fold") != k))
+                    scored = score_with(model, weighted.where(F.col("_fold") == k))
+                    own.append(scored.select(F.lit(name).alias("candidate"), "_fold", label, "score"))
+                parts += own
+            except Exception as problem:  # a broken setting must not end the search
+                failures.append((name, str(problem) or type(problem).__name__))
+        empty = spark.createDataFrame([], f"candidate string, _fold int, {label} double, score double")
+        scores = pin(reduce(lambda a, b: a.unionByName(b), parts)) if parts else empty
+    finally:
+        folded.unpersist()
+    means = ranking.metric_means(ranking.fold_metrics(scores, label, "score", "candidate", "_fold"), "candidate")
+    return means, spark.createDataFrame(failures, "candidate string, error string")
+
+
 def importance_table(spark: SparkSession, model: Model, features: Sequence[str], name: str) -> DataFrame:
     """Feature importances, or absolute coefficients of a linear model."""
     values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())

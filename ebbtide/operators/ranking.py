@@ -89,6 +89,30 @@ def best_f1(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     return top.select(*by, F.col("b.threshold").alias("threshold"), F.col("b.f1").alias("best_f1"))
 
 
+def fold_metrics(scores: DataFrame, label: str, score: str, candidate: str, fold: str, threshold: float = 0.5) -> DataFrame:
+    """F1 and recall at a threshold and average precision of every (candidate, fold), all in one grouped pass.
+
+    A fold without positives has an F1 and recall of 0 and no average precision. Rows without score or label are left out.
+    """
+    by = [candidate, fold]
+    curve = curve_of(score_counts(scores.where(F.col(label).isNotNull()), label, score, by), score, by)
+    hit = F.col("threshold") >= threshold
+    gained = F.try_divide(F.col("pos").cast("double"), F.col("all_pos").cast("double"))
+    summed = curve.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("_fp"), F.max("all_pos").alias("_p"),
+        F.sum(gained * F.col("precision")).alias("average_precision"))
+    return summed.select(
+        *by, f1_of(F.col("_tp"), F.col("_fp"), F.col("_p") - F.col("_tp")).alias("f1"), ratio("_tp", "_p").alias("recall"), "average_precision")
+
+
+def metric_means(folds: DataFrame, candidate: str) -> DataFrame:
+    """Means over the folds of every candidate, and how many folds it has."""
+    return folds.groupBy(candidate).agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("f1").alias("mean_f1"), F.avg("recall").alias("mean_recall"),
+        F.avg("average_precision").alias("mean_average_precision"))
+
+
 def threshold_sweep(
     rows: DataFrame, label: str, score: str, first: int, last: int, per_one: int, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -49,10 +49,11 @@ def stratified_cap(rows: DataFrame, row_id: str, label: str, seed: str, max_rows
 
 
 def balanced_sample(rows: DataFrame, row_id: str, label: str, seed: str, minority: int = 1) -> DataFrame:
-    """All minority rows and the same number of other rows."""
-    wanted = rows.agg(F.count_if(F.col(label) == minority)).scalar()
-    ranked = hash_rank(rows, row_id, seed, [label], out="_rank").withColumn("_wanted", wanted)
-    return ranked.where((F.col(label) == minority) | (F.col("_rank") <= F.col("_wanted"))).drop("_rank", "_wanted")
+    """All minority rows and the same number of rows of all other classes together; rows without a label are left out."""
+    known = rows.where(F.col(label).isNotNull()).withColumn("_few", F.col(label) == minority)
+    wanted = known.agg(F.count_if("_few")).scalar()
+    ranked = hash_rank(known, row_id, seed, ["_few"], out="_rank").withColumn("_wanted", wanted)
+    return ranked.where(F.col("_few") | (F.col("_rank") <= F.col("_wanted"))).drop("_rank", "_wanted", "_few")
 
 
 def copies_needed(rank: Column, size: Column, extra: Column) -> Column:
@@ -98,7 +99,7 @@ def attach_random(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, s
     numbered = hash_rank(pool, pool_id, seed, out="_number")
     size = pool.agg(F.count(F.lit(1))).scalar()
     drawn = rows.withColumn("_pool_size", size).withColumn(
-        "_number", hash_number(hash_token(seed, row_id)) % F.col("_pool_size") + 1)
+        "_number", hash_number(hash_token(seed, row_id), 15) % F.col("_pool_size") + 1)
     return drawn.join(numbered, "_number").drop("_number", "_pool_size")
 
 

@@ -85,7 +85,7 @@ def dedupe_first(feeds: Feeds) -> DataFrame:
 
 
 @query(statement("churn_labels members", """SELECT l.entity_id, l.is_churn, k.entity_id AS pool_id, k.city AS pool_city, k.bd AS pool_bd
-FROM churn_labels l JOIN k ON k.r = CAST('0x' || SUBSTR(MD5('42:' || CAST(l.entity_id AS VARCHAR)), 1, 8) AS BIGINT)
+FROM churn_labels l JOIN k ON k.r = CAST('0x' || SUBSTR(MD5('42:' || CAST(l.entity_id AS VARCHAR)), 1, 15) AS BIGINT)
   % (SELECT COUNT(*) FROM members) + 1""", k=_ranked("members", "entity_id")))
 def pool_random_attach(feeds: Feeds) -> DataFrame:
     """Every label with one profile drawn at random."""

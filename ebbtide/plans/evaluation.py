@@ -263,23 +263,88 @@ def blend_topk(feeds: Feeds) -> DataFrame:
     return rounded(ranking.tuned_evaluation(blended, "y", "score", "split", ["blend"]))
 
 
+#: 500 weightings: nine by hand, the others drawn.
 _CANDIDATES = {
     "equal": (1, 1, 1), "only_s1": (1, 0, 0), "only_s2": (0, 1, 0), "only_s3": (0, 0, 1), "a": (0.5, 0.3, 0.2),
     "b": (0.2, 0.5, 0.3), "c": (0.1, 0.1, 0.8), "d": (0.7, 0.3, 0), "e": (0.25, 0, 0.75),
-}
-_CAND_SQL = " UNION ALL ".join(
-    f"SELECT row_id, y, split, '{n}' AS blend, ROUND(s1 * {w[0] / sum(w)!r}e0 + s2 * {w[1] / sum(w)!r}e0 + s3 * {w[2] / sum(w)!r}e0, 9) AS score FROM nm"
-    for n, w in _CANDIDATES.items())
+} | {n: tuple(w) for n, w in blending.candidate_weights(3, 491).items() if n.startswith("draw_")}
+_CAND_ROWS = ", ".join(f"('{n}', {w[0] / sum(w)!r}, {w[1] / sum(w)!r}, {w[2] / sum(w)!r})" for n, w in _CANDIDATES.items())
+_CAND_SQL = ("SELECT row_id, y, split, blend, ROUND(LEAST(GREATEST(s1 * w1 + s2 * w2 + s3 * w3, 0), 1), 9) AS score FROM nm "
+             "CROSS JOIN (SELECT blend, CAST(w1 AS DOUBLE) AS w1, CAST(w2 AS DOUBLE) AS w2, CAST(w3 AS DOUBLE) AS w3 "
+             f"FROM (VALUES {_CAND_ROWS}) t(blend, w1, w2, w3))")
 
 
 @query(statement("scores", """SELECT blend, ROUND(threshold, 6) AS threshold, ROUND(best_f1, 6) AS best_f1 FROM cb
 ORDER BY cb.best_f1 DESC, blend LIMIT 1""", **_NORM_STEPS, cl=_CAND_SQL,
                  cc=curve_sql("(SELECT * FROM cl WHERE split = 'val')", "score", "blend"), cb=best_sql("cc", "blend")))
 def blend_weight_search(feeds: Feeds) -> DataFrame:
-    """The weighting with the highest validation F1 among fixed candidates."""
+    """The weighting with the highest validation F1 among 500 candidates."""
     rows = normalised_scores(feeds).where(F.col("split") == "val")
-    scored = blending.weighted_candidates(rows, MEMBERS, _CANDIDATES, ["row_id", "y"]).withColumn("score", F.round("score", 9))
-    return rounded(blending.best_weights(scored, "y"))
+    return rounded(blending.searched_weights(rows, MEMBERS, _CANDIDATES, "y"))
+
+
+#: Eight members made of the normalised scores, with a feature set and a family each.
+_DERIVED = {
+    "m1": ("s1", "a", "raw"), "m2": ("s2", "b", "raw"), "m3": ("s3", "b", "raw"), "m4": ("1 - s1", "a", "turned"),
+    "m5": ("1 - s2", "b", "turned"), "m6": ("(s1 + s2) / 2", "a", "mixed"), "m7": ("s1 * s2", "a", "product"), "m8": ("(s1 + s3) / 2", "b", "mixed"),
+}
+_FAMILY_STEPS = _NORM_STEPS | {
+    "nl": " UNION ALL ".join(f"SELECT row_id, y, split, '{m}' AS member, {e} AS score FROM nm" for m, (e, _, _) in _DERIVED.items()),
+    "vc": curve_sql("(SELECT * FROM nl WHERE split = 'val')", "score", "member"), "vb": best_sql("vc", "member"),
+    "mt": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{s}', '{f}')" for m, (_, s, f) in _DERIVED.items()) + ") t(member, feature_set, family)",
+    "rk": """SELECT vb.member, feature_set, family, best_f1, ROW_NUMBER() OVER (ORDER BY best_f1 DESC, vb.member) AS place, COUNT(*) OVER () AS n,
+  ROW_NUMBER() OVER (PARTITION BY feature_set ORDER BY best_f1 DESC, vb.member) AS in_set, COUNT(*) OVER (PARTITION BY feature_set) AS of_set,
+  ROW_NUMBER() OVER (PARTITION BY family ORDER BY best_f1 DESC, vb.member) AS in_family FROM vb JOIN mt ON mt.member = vb.member""",
+    "ff": "SELECT *, ROW_NUMBER() OVER (ORDER BY best_f1 DESC, member) AS nth, COUNT(*) OVER () AS kinds FROM rk WHERE in_family = 1",
+    "pt": """SELECT 'top' || k AS blend, member, best_f1 FROM rk JOIN (VALUES (3), (5), (10), (20)) g(k) ON place <= k AND n >= k
+  UNION ALL SELECT 'set_' || feature_set, member, best_f1 FROM rk WHERE in_set <= 5 AND of_set >= 3
+  UNION ALL SELECT 'families', member, best_f1 FROM ff WHERE nth <= 8 AND kinds >= 3""",
+    "sp": """SELECT 'mean_' || blend AS blend, member, 1e0 / COUNT(*) OVER (PARTITION BY blend) AS weight FROM pt
+  UNION ALL SELECT 'weighted_' || blend, member, GREATEST(best_f1, 1e-6) / SUM(GREATEST(best_f1, 1e-6)) OVER (PARTITION BY blend) FROM pt""",
+}
+
+
+@query(statement("scores", "SELECT * FROM tuned", **_FAMILY_STEPS, bl=_blend_step(), **tuned_steps("bl", "blend")))
+def blend_families(feeds: Feeds) -> DataFrame:
+    """Blends of the best members, of each feature set and of the best of each family, evenly and by strength, tuned and measured."""
+    rows = normalised_scores(feeds).select("row_id", "y", "split", *[F.expr(e).alias(m) for m, (e, _, _) in _DERIVED.items()])
+    long = pin(blending.member_scores(rows, list(_DERIVED), ["row_id", "y", "split"]))
+    best = ranking.best_f1(long.where(F.col("split") == "val"), "y", "score", ["member"])
+    kinds = rows.sparkSession.createDataFrame([(m, s, f) for m, (_, s, f) in _DERIVED.items()], "member string, feature_set string, family string")
+    specs = blending.family_specs(pin(best.join(kinds, "member")))
+    return rounded(ranking.tuned_evaluation(_blend_scores(specs, long), "y", "score", "split", ["blend"]))
+
+
+_AUX_WEIGHTS = (0.02, 0.04, 0.1)
+_AUX_STEPS = _NORM_STEPS | {
+    "nl": _NORM_LONG,
+    "sp": " UNION ALL ".join(
+        f"SELECT 'aux_{w:.2f}' AS blend, 's1' AS member, {1 - w!r}e0 AS weight UNION ALL SELECT 'aux_{w:.2f}', 's2', {w / 2!r}e0 "
+        f"UNION ALL SELECT 'aux_{w:.2f}', 's3', {w / 2!r}e0" for w in _AUX_WEIGHTS),
+}
+
+
+@query(statement("scores", "SELECT * FROM tuned", **_AUX_STEPS, bl=_blend_step(), **tuned_steps("bl", "blend")))
+def blend_auxiliary(feeds: Feeds) -> DataFrame:
+    """A primary member with two auxiliary ones at small weights, tuned and measured."""
+    long = blending.member_scores(normalised_scores(feeds), MEMBERS, ["row_id", "y", "split"])
+    specs = blending.spec_rows(long.sparkSession, blending.primary_auxiliary_specs(["s1"], ["s2", "s3"], _AUX_WEIGHTS))
+    return rounded(ranking.tuned_evaluation(_blend_scores(specs, long), "y", "score", "split", ["blend"]))
+
+
+# ---- search -------------------------------------------------------------------------
+
+@query(statement("scores", f"""SELECT c.member, COUNT(*) AS folds, ROUND(AVG(c.f1), 6) AS mean_f1, ROUND(AVG(c.recall), 6) AS mean_recall,
+  ROUND(AVG(a.ap), 6) AS mean_average_precision
+FROM (SELECT member, fold, {F1} AS f1, COALESCE(tp / CAST(NULLIF(tp + fn, 0) AS DOUBLE), 0) AS recall FROM f) c
+LEFT JOIN (SELECT member, fold, SUM(pos / CAST(NULLIF(all_pos, 0) AS DOUBLE) * (tp / CAST(tp + fp AS DOUBLE))) AS ap FROM v GROUP BY member, fold) a
+  ON a.member = c.member AND a.fold = c.fold GROUP BY c.member""",
+                 long=_LONG, lf="SELECT *, row_id % 5 AS fold FROM long", f=confusion_sql("lf", "score", "0.5e0", "member, fold"),
+                 v=curve_sql("lf", "score", "member, fold")))
+def cv_metric_means(feeds: Feeds) -> DataFrame:
+    """Fold means of F1, recall and average precision of each member over five folds."""
+    folded = long_scores(feeds).withColumn("fold", F.col("row_id") % 5)
+    return rounded(ranking.metric_means(ranking.fold_metrics(folded, "y", "score", "member", "fold"), "member"))
 
 
 # ---- leaderboards -------------------------------------------------------------------
