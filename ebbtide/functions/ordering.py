@@ -15,31 +15,51 @@ from pyspark.sql import functions as F
 from ebbtide.functions.text import hash_token
 
 
-def _cell_count(frame: DataFrame) -> int:
-    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(partitions, 512))
+#: Range cells and hash cells per shuffle partition, at least; fewer than this many cells are not worth a border.
+FEW_CELLS, HASH_CELLS = 8, 4
+
+
+def _partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _hash_digits(frame: DataFrame) -> int:
     """Hex digits that cut a hash into clearly more cells than there are shuffle partitions."""
-    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 2 if partitions <= 64 else 3 if partitions <= 1024 else 4
+    return max(2, -(-(HASH_CELLS * _partitions(frame) - 1).bit_length() // 4))
+
+
+def _borders(sample: DataFrame, order: str) -> DataFrame:
+    """One row: the sorted distinct values of a sample in slices of about the square root of their number, and the first of each."""
+    sorted_ = sample.agg(F.sort_array(F.array_distinct(F.collect_list(order))).alias("_all"))
+    sized = sorted_.withColumn("_width", F.greatest(F.ceil(F.sqrt(F.size("_all"))), F.lit(1)).cast("int"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("_all"), F.col("_width")), lambda i: i < F.size("_all"))
+    slices = sized.select("_width", F.transform(begins, lambda i: F.slice("_all", i + 1, F.col("_width"))).alias("fine"))
+    return slices.select(F.struct(F.col("_width").alias("width"), "fine", F.transform("fine", lambda s: s[0]).alias("coarse")).alias("b"))
+
+
+def _smaller(values: Column, value: Column) -> Column:
+    """How many of sorted distinct values are smaller than one: its place among them, without a lambda.
+
+    A lambda here would confuse the optimizer's inference of join filters from the equality of both sides' cells.
+    """
+    return F.array_position(F.sort_array(F.array_append(values, value)), value) - 1
 
 
 def with_range_cell(rows: DataFrame, order: str, cells: int | None = None, out: str = "_cell") -> DataFrame:
     """Number the rows by range of ``order``.
 
-    The borders are the ``order`` values of the rows with the smallest hashes: a uniform
-    sample of fixed size that depends on the data only, so a recomputed task draws the
-    same borders. Every column is hashed to let Spark reuse the shuffle below ``rows``.
+    The borders are the ``order`` values of the rows with the smallest hashes: a uniform sample, about one per shuffle
+    partition, that depends on the data only, so a recomputed task draws the same borders. Every column is hashed to let
+    Spark reuse the shuffle below ``rows``. A value is looked up among the first borders of the slices, then in its slice.
     """
-    wanted = cells or _cell_count(rows)
+    wanted = cells or max(FEW_CELLS, _partitions(rows))
     sample = rows.orderBy(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col(order)).limit(wanted - 1)
-    borders = sample.agg(F.sort_array(F.array_distinct(F.collect_list(order)))).scalar()
-    # the place of the value among the sorted borders; a lambda here would confuse the optimizer's
-    # inference of join filters from the equality of both sides' cells
-    place = F.array_position(F.sort_array(F.array_append(borders, F.col(order))), F.col(order))
-    return rows.withColumn(out, F.coalesce(place.cast("int"), F.lit(0)))
+    wide = rows.withColumn("_borders", _borders(sample, order).scalar())
+    value = F.col(order)
+    wide = wide.withColumn("_slice", _smaller(F.col("_borders.coarse"), value).cast("int"))
+    inside = _smaller(F.try_element_at(F.col("_borders.fine"), F.greatest("_slice", F.lit(1))), value)
+    place = F.when(F.col("_slice") == 0, F.lit(1)).otherwise((F.col("_slice") - 1) * F.col("_borders.width") + inside + 1)
+    return wide.select(*[F.col(c) for c in rows.columns], F.when(value.isNull(), F.lit(0)).otherwise(place.cast("int")).alias(out))
 
 
 def _same_group(by: Sequence[str], cell: str, right: DataFrame) -> tuple[DataFrame, Column]:
@@ -169,37 +189,85 @@ def latest_before(
     )
 
 
+#: Accuracy of the sketches that bracket a quantile: ranks are off by one in this many rows, brackets reach out eight times as far.
+SKETCH, REACH = 10_000, 8
+
+
+def _matched(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the one row of ``groups`` of their ``by`` as ``_g``, where null is a group; without ``by`` the only row."""
+    packed = groups.select(*by, F.struct(*[c for c in groups.columns if c not in by]).alias("_g"))
+    if not by:
+        return rows.withColumn("_g", packed.select("_g").scalar())
+    other = packed.withColumnsRenamed({c: f"_of_{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{i}"))
+    return rows.join(other, same).drop(*[f"_of_{i}" for i in range(len(by))])
+
+
+def _quantile_table(rows: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """Exact interpolated quantiles of many columns: ``by``, _feature (its number) and a column per quantile.
+
+    A sketch of every column brackets its quantiles. A second pass counts exactly what lies below and up to each bracket, and
+    opens a bracket that missed to all values. Only the values inside the brackets are ordered, about one in a thousand.
+    """
+    by, names = list(by), list(quantiles)
+    slots = [(i, j) for i in range(len(columns)) for j in range(len(names))]
+    typed = rows.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    reach = REACH / SKETCH
+    marks = [m for q in quantiles.values() for m in (max(0.0, q - reach), min(1.0, q + reach))]
+    sketch = typed.groupBy(*by).agg(*[
+        e for i in range(len(columns))
+        for e in (F.count(f"_v{i}").alias(f"n{i}"), F.percentile_approx(f"_v{i}", marks, SKETCH).alias(f"p{i}"))
+    ])
+    near = _matched(typed, sketch, by)
+    low, high = (lambda i, j: F.col(f"_g.p{i}")[2 * j]), (lambda i, j: F.col(f"_g.p{i}")[2 * j + 1])
+    counted = near.groupBy(*by).agg(
+        *[F.max(f"_g.n{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[e for i, j in slots for e in (
+            F.max(low(i, j)).alias(f"low{i}_{j}"), F.max(high(i, j)).alias(f"high{i}_{j}"),
+            F.count_if(F.col(f"_v{i}") < low(i, j)).alias(f"below{i}_{j}"), F.count_if(F.col(f"_v{i}") <= high(i, j)).alias(f"upto{i}_{j}"))],
+    )
+    places = {j: [F.lit(float(quantiles[name])) * (F.col(f"n{i}") - 1) for i in range(len(columns))] for j, name in enumerate(names)}
+    fits = {(i, j): (F.col(f"below{i}_{j}") <= F.floor(places[j][i])) & (F.col(f"upto{i}_{j}") > F.ceil(places[j][i])) for i, j in slots}
+    brackets = counted.select(*by, *[f"n{i}" for i in range(len(columns))], *[e for i, j in slots for e in (
+        F.when(fits[i, j], F.col(f"low{i}_{j}")).alias(f"low{i}_{j}"), F.when(fits[i, j], F.col(f"high{i}_{j}")).alias(f"high{i}_{j}"),
+        F.when(fits[i, j], F.col(f"below{i}_{j}")).otherwise(F.lit(0)).alias(f"below{i}_{j}"))])
+    inside = _matched(typed, brackets, by).select(*by, F.explode(F.array_compact(F.array(*[
+        F.when(
+            F.col(f"_v{i}").isNotNull() & (F.coalesce(F.col(f"_v{i}") >= F.col(f"_g.low{i}_{j}"), F.lit(True)))
+            & F.coalesce(F.col(f"_v{i}") <= F.col(f"_g.high{i}_{j}"), F.lit(True)),
+            F.struct(F.lit(i).alias("feature"), F.lit(j).alias("which"), F.col(f"_v{i}").alias("value"),
+                     F.col(f"_g.below{i}_{j}").alias("below"), F.col(f"_g.n{i}").alias("size")))
+        for i, j in slots]))).alias("_x"))
+    counts = inside.groupBy(
+        *by, F.col("_x.feature").alias("_feature"), F.col("_x.which").alias("_which"), F.col("_x.value").alias("_value")
+    ).agg(F.count(F.lit(1)).alias("_n"), F.max("_x.below").alias("_below"), F.max("_x.size").alias("_size"))
+    ranked = running_totals(counts, "_value", {"_in": "_n"}, by=[*by, "_feature", "_which"]).withColumn("_upto", F.col("_in") + F.col("_below"))
+    picks = []
+    for j, name in enumerate(names):
+        mine, place = F.col("_which") == j, F.lit(float(quantiles[name])) * (F.col("_size") - 1)
+        low_, high_ = (F.min(F.when(mine & (F.col("_upto") > f(place)), F.col("_value"))) for f in (F.floor, F.ceil))
+        weight = F.max(F.when(mine, place - F.floor(place)))
+        picks.append((low_ + (high_ - low_) * weight).alias(name))
+    return ranked.groupBy(*by, "_feature").agg(*picks)
+
+
 def exact_quantiles(
     rows: DataFrame,
     value: str,
     quantiles: Mapping[str, float],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact interpolated quantiles per group from value counts and running totals."""
-    by = list(by)
-    counts = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_totals(counts, value, {"_upto": "_n"}, by=by, overall={"_size": "_n"})
-    picks = []
-    for name, q in quantiles.items():
-        place = F.lit(float(q)) * (F.col("_size") - 1)
-        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col(value)))
-        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col(value)))
-        weight = F.max(place - F.floor(place))
-        picks.append((low + (high - low) * weight).alias(name))
-    return ranked.groupBy(*by).agg(*picks)
+    """Exact interpolated quantiles per group; a group without values has no row."""
+    return _quantile_table(rows.where(F.col(value).isNotNull()), [value], quantiles, by).drop("_feature")
 
 
 def column_quantiles(rows: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles of many columns at once, one row per column name."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
-    ]))
-    long = rows.select(pairs.alias("p")).select("p.feature", "p.value")
-    return exact_quantiles(long, "value", quantiles, by=["feature"])
+    """Exact quantiles of many columns at once, one row per column name; a column without values has none."""
+    table = _quantile_table(rows, columns, quantiles, [])
+    names = F.array(*[F.lit(c) for c in columns])
+    return table.select(F.element_at(names, F.col("_feature") + 1).alias("feature"), *quantiles)
 
 
 def one_row(stats: DataFrame, feature: str, columns: Sequence[str], names: Sequence[str]) -> Column:
