@@ -128,13 +128,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    from ebbtide.llm.toxicity import teaching, toxicity
+    from ebbtide.llm.toxicity import labelled_sample, teaching, toxicity
 
     docs = table(spark, folder, "documents")
-    labels = teaching(table(spark, folder, "labels"), "doc_id").select("doc_id", "toxic")
-    scored = toxicity(docs, docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity(docs, labelled_sample(docs, teaching(table(spark, folder, "labels"), "doc_id")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
 
 
 @query

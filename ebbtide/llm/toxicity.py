@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from ebbtide.llm.blocks import BLOCK_BYTES, slices
 from ebbtide.llm.kernels import Words, bytes_of, hash_spans, mix, spread
+from ebbtide.session import pin
 
 #: Slots of the hashed features of a token, and the documents that the field is fitted on at most.
 SLOTS, SAMPLE = 1 << 18, 3000
@@ -223,6 +224,29 @@ def toxicity(
     return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
 
 
+def sample_keys(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int) -> DataFrame:
+    """(_hash, _check, _toxic): 96 bits of the distinct labelled texts that come first in hash order; no text moves."""
+    marked = docs.select(F.col(doc_id), F.xxhash64(text).alias("_hash"), F.hash(text).alias("_check"))
+    known = labels.select(F.col(doc_id), F.col(toxic).cast("int").alias("_toxic")).where("_toxic is not null")
+    keys = ["_hash", "_check", "_toxic"]
+    return marked.join(known, doc_id).select(*keys).distinct().orderBy(*keys).limit(sample)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE
+) -> DataFrame:
+    """(text, toxic): the distinct labelled texts that come first in hash order, at most ``sample`` of them.
+
+    The texts are hashed where they are read; only ids and hashes meet the labels, and only the chosen texts are
+    read again and written. A text with both labels is there with each. Null labels, and ids on one side only, teach nothing.
+    """
+    first = pin(sample_keys(docs, labels, doc_id, text, toxic, sample))
+    marked = docs.select(F.col(text), F.xxhash64(text).alias("_hash"), F.hash(text).alias("_check"))
+    # at most ``sample`` rows of three numbers are broadcast
+    chosen = marked.join(F.broadcast(first), ["_hash", "_check"]).dropDuplicates(first.columns)
+    return pin(chosen.select(text, F.col("_toxic").alias(toxic)))
+
+
 def teaching(labels: DataFrame, doc_id: str) -> DataFrame:
     """Labels of the rows that may teach: crc32 of the id as text is not divisible by 5."""
     return labels.where(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0)
