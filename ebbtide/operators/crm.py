@@ -19,6 +19,7 @@ from ebbtide.functions.numeric import (
     sqrt_positive,
 )
 from ebbtide.functions.text import filled_category, joined, yes_no, zip_text
+from ebbtide.session import pin
 
 NUMBERS = (
     "Billing_ZIP", "Active_subscribers", "Not_Active_subscribers", "Suspended_subscribers", "Total_SUBs",
@@ -216,19 +217,45 @@ PID_DISTINCT = {
 }
 
 
-def pid_aggregates(df: DataFrame, key: str = "account_id") -> DataFrame:
-    """Statistics per account id over a prepared snapshot (all rows, or training rows)."""
-    base = df.groupBy(key).agg(
-        F.count(F.lit(1)).cast("double").alias("pid_row_count"),
-        *[or_zero(F.sum(c)).alias(n) for n, c in PID_SUMS.items()],
-        or_zero(F.avg("Total_SUBs")).alias("pid_subs_mean"),
-        or_zero(F.max("Total_SUBs")).alias("pid_subs_max"),
-        or_zero(F.avg("TotalRevenue")).alias("pid_revenue_mean"),
-        or_zero(F.max("TotalRevenue")).alias("pid_revenue_max"),
-        or_zero(F.stddev_samp("TotalRevenue")).alias("pid_revenue_std"),
-        or_zero(F.avg("ARPU")).alias("pid_arpu_mean"),
-        or_zero(F.max("ARPU")).alias("pid_arpu_max"),
-        *[F.count_distinct(c).cast("double").alias(n) for n, c in PID_DISTINCT.items()],
+def pid_aggregates(df: DataFrame, key: str = "account_id", only: Column | None = None) -> DataFrame:
+    """Statistics per account id over a prepared snapshot: all rows, or those where ``only`` holds (training rows).
+
+    One pass over the snapshot sums each combination of an account and its four categories; the combinations are written once. They,
+    not the rows, are then listed once per category, so that each value of an account is counted once: no set of
+    values is gathered, and an account with most of the rows is summed where its rows are. Deviations are taken from the
+    account's mean, part by part.
+    """
+    values, revenue = list(PID_DISTINCT.values()), F.col("TotalRevenue").cast("double")
+    parts = pin((df if only is None else df.where(only)).groupBy(key, *values).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for n, c in PID_SUMS.items()],
+        F.count("Total_SUBs").alias("n_subs"), F.max("Total_SUBs").alias("max_subs"),
+        F.count(revenue).alias("n_revenue"), F.avg(revenue).alias("mean_revenue"), F.max(revenue).alias("max_revenue"),
+        (F.var_pop(revenue) * F.count(revenue)).alias("spread"),
+        F.count("ARPU").alias("n_arpu"), F.sum("ARPU").alias("sum_arpu"), F.max("ARPU").alias("max_arpu"),
+    ))
+    means = parts.groupBy(key).agg(F.try_divide(F.sum(F.col("n_revenue") * F.col("mean_revenue")), F.sum("n_revenue")).alias("_mean"))
+    apart = F.col("mean_revenue") - F.col("_mean")
+    spread = F.col("spread") + F.col("n_revenue") * apart * apart
+    parts = parts.join(means.withColumnRenamed(key, "_of"), F.col(key).eqNullSafe(F.col("_of"))).withColumn("spread", spread)
+    sums, tops = ["n", *PID_SUMS, "n_subs", "n_revenue", "spread", "n_arpu", "sum_arpu"], ["max_subs", "max_revenue", "max_arpu"]
+    # the sums go along with the first category
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("which"), F.col(c).cast("string").alias("value"),
+                 *[(F.col(m) if i == 0 else F.lit(None).cast(parts.schema[m].dataType)).alias(m) for m in [*sums, *tops]])
+        for i, c in enumerate(values)])).alias("p")
+    once = parts.select(key, listed).select(key, "p.*").groupBy(key, "which", "value").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in tops])
+    base = once.groupBy(key).agg(
+        F.sum("n").cast("double").alias("pid_row_count"),
+        *[or_zero(F.sum(n)).alias(n) for n in PID_SUMS],
+        or_zero(F.try_divide(F.sum("pid_subs_sum"), F.sum("n_subs"))).alias("pid_subs_mean"),
+        or_zero(F.max("max_subs")).alias("pid_subs_max"),
+        or_zero(F.try_divide(F.sum("pid_revenue_sum"), F.sum("n_revenue"))).alias("pid_revenue_mean"),
+        or_zero(F.max("max_revenue")).alias("pid_revenue_max"),
+        or_zero(F.when(F.sum("n_revenue") > 1, F.sqrt(F.sum("spread") / (F.sum("n_revenue") - 1)))).alias("pid_revenue_std"),
+        or_zero(F.try_divide(F.sum("sum_arpu"), F.sum("n_arpu"))).alias("pid_arpu_mean"),
+        or_zero(F.max("max_arpu")).alias("pid_arpu_max"),
+        *[F.count_if((F.col("which") == i) & F.col("value").isNotNull()).cast("double").alias(n) for i, n in enumerate(PID_DISTINCT)],
     )
     return base.withColumns(_pid_ratios())
 
@@ -305,6 +332,7 @@ def with_group_risk(scored: DataFrame, group: str, probability: str = "churn_pro
 
 # ---- column selection ---------------------------------------------------------------
 
+# The published column groups, in this engine's column names.
 FEATURE_GROUPS: dict[str, tuple[str, ...]] = {
     "revenue_size": (
         "Total_SUBs", "AvgMobileRevenue", "AvgFIXRevenue", "TotalRevenue", "ARPU", "mobile_revenue_ratio",
@@ -316,13 +344,23 @@ FEATURE_GROUPS: dict[str, tuple[str, ...]] = {
         "suspended_ratio", "dormant_ratio", "has_inactive", "has_suspended",
     ),
     "customer_profile": ("CRM_PID_Value_Segment", "EffectiveSegment", "Billing_ZIP", "KA_name"),
-    "geography": ("postal_code", "zip_found", "place_count", "place_name", "min_city_km"),
+    "geography": (
+        "postal_code", "zip_found", "place_count", "place_name", "admin_name", "admin_code", "latitude", "longitude",
+        "accuracy", "km_sofia", "km_plovdiv", "km_varna", "km_burgas", "min_city_km",
+    ),
 }
-
-
-def present_groups(frame: DataFrame, groups: dict[str, tuple[str, ...]] | None = None) -> dict[str, list[str]]:
-    """Groups reduced to the columns a frame has."""
-    found = {g: [c for c in cols if c in frame.columns] for g, cols in (groups or FEATURE_GROUPS).items()}
+# Groups of all columns that begin with one of these.
+PREFIX_GROUPS: dict[str, tuple[str, ...]] = {"public_demographics": ("district_", "municipality_")}
+
+
+def present_groups(
+    frame: DataFrame, groups: dict[str, tuple[str, ...]] | None = None, prefixes: dict[str, tuple[str, ...]] | None = None
+) -> dict[str, list[str]]:
+    """Groups reduced to the columns a frame has; without given groups the published ones."""
+    if groups is None and prefixes is None:
+        groups, prefixes = FEATURE_GROUPS, PREFIX_GROUPS
+    found = {g: [c for c in cols if c in frame.columns] for g, cols in (groups or {}).items()}
+    found |= {g: [c for c in frame.columns if c.startswith(begins)] for g, begins in (prefixes or {}).items()}
     return {g: cols for g, cols in found.items() if cols}
 
 
@@ -343,6 +381,10 @@ def temporal_columns(frame: DataFrame) -> list[str]:
     return [c for c in frame.columns if any(t in c.lower() for t in TEMPORAL_TOKENS)]
 
 
+#: Begins the fitted codes, frequencies and rates of the value segment, which is named like an id and is none.
+SEGMENT_CODES = "CRM_PID_Value_Segment_"
+
+
 def assert_no_ids(columns: Sequence[str], ids: Sequence[str] = ("PID", "account_id", "CHURN", "y")) -> None:
     """Refuse a feature list that holds the account id, another id column or the target."""
     leaked = [c for c in columns if c in ids or c.upper() == "PID" or c.upper().startswith("CRM_PID")]

@@ -109,7 +109,7 @@ class FittedAccountFeatures(Model):
     def _finish(self, rows: DataFrame) -> DataFrame:
         keep = [c for c in (self.row_id, self.label) if c in rows.columns]
         features = self.feature_columns
-        crm.assert_no_ids([c for c in features if not c.startswith("CRM_PID_Value_Segment_")])
+        crm.assert_no_ids([c for c in features if not c.startswith(crm.SEGMENT_CODES)])
         return sanitised(rows.select(*keep, *[F.col(c).cast("double").alias(c) for c in features]), keep=keep)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

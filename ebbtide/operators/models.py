@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.operators import ranking
-from ebbtide.operators.crm import assert_no_ids
+from ebbtide.operators.crm import SEGMENT_CODES, assert_no_ids
 from ebbtide.operators.sampling import balanced_sample, stratified_folds
 from ebbtide.session import pin
 
@@ -38,8 +38,8 @@ Factory = Callable[[str], Estimator]
 
 
 def assemble(rows: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Numeric features as one vector; ids and the target may not be among them."""
-    assert_no_ids(features, ids=("PID", "account_id", "CHURN", label))
+    """Numeric features as one vector; ids and the target may not be among them, encodings of the value segment may."""
+    assert_no_ids([f for f in features if not f.startswith(SEGMENT_CODES)], ids=("PID", "account_id", "CHURN", label))
     doubles = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
     kept = [c for c in dict.fromkeys([*keep, label]) if c in rows.columns]
     return rows.select(*kept, array_to_vector(doubles).alias(FEATURES))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import decisions as d
 from ebbtide.functions.numeric import ratio, rounded, sigmoid
-from ebbtide.operators import alerts
+from ebbtide.operators import alerts, payloads, scoring
 from ebbtide.plans.catalog import query
 from ebbtide.plans.statements import statement
 from ebbtide.sources.feeds import Feeds
@@ -192,3 +192,64 @@ def feedback_rows(feeds: Feeds) -> DataFrame:
         F.concat_ws("-", F.col("customer_id").cast("string"), F.col("event_id").cast("string")).alias("feedback_key"),
         F.lit("logged_for_feedback_loop").alias("monitoring_status"))
     return rounded(alerts.feedback(log, feeds.churn_labels().withColumnRenamed("entity_id", "customer_id"), "customer_id"))
+
+
+# ---- requests to answers ------------------------------------------------------------
+
+def request_batches(feeds: Feeds) -> DataFrame:
+    """Account lines as batches of request texts; one in seven is not readable, one in three has a history."""
+    n = F.col("PID").cast("bigint")
+    history = F.when(n % 3 == 0, F.transform(F.sequence(F.lit(1), (n % 10 + 1).cast("int")), lambda i: i.cast("double")))
+    body = F.when(n % 7 == 0, F.lit("not a request")).otherwise(F.to_json(F.struct(
+        F.col("PID").alias("customer_id"), "Total_SUBs", "TotalRevenue", "ARPU", "AvgMobileRevenue", "Active_subscribers",
+        "Not_Active_subscribers", "Suspended_subscribers", history.alias("history_arpu"))))
+    lines = feeds.crm_accounts().select(F.floor(n / 20).alias("batch_id"), F.struct("PID", "EffectiveSegment", body.alias("body")).alias("r"))
+    # a batch is the lines of twenty neighbouring accounts, so the list is bounded
+    return lines.groupBy("batch_id").agg(F.sort_array(F.collect_list("r")).alias("r")).select("batch_id", F.col("r.body").alias("bodies"))
+
+
+def rule_scores(rows: DataFrame) -> DataFrame:
+    """Three scores by rule, standing in for fitted models; accounts of one or two lines have no sequence score."""
+    table = (-1.4 * F.col("Active_Ratio") + 0.9 * F.col("Inactive_Ratio") + 0.7 * F.col("Suspended_Ratio")
+             + 0.25 * F.col("Mobile_Revenue_Ratio") + 0.00001 * F.col("Revenue_per_Active_Sub"))
+    return rows.withColumns({
+        "table_probability": sigmoid(table),
+        "sequence_probability": F.when(F.col("Total_SUBs") > 2, sigmoid(F.col("Inactive_Ratio"))),
+        "trend_probability": sigmoid(0.5 * F.col("Mobile_Revenue_Ratio") - 0.2)})
+
+
+def _share_sql(top: str, bottom: str) -> str:
+    return f"LEAST(GREATEST(COALESCE({top} / NULLIF({bottom}, 0), 0), 0), 1)"
+
+
+@query(statement("crm_accounts", f"""SELECT batch_id, total_customers, alert_required_count, position, customer_id, ROUND(t, 6) AS table_probability,
+  ROUND(q, 6) AS sequence_probability, ROUND(p, 6) AS churn_probability, 0.42e0 AS prediction_threshold, p >= 0.42e0 AS churn_prediction,
+  {risk_sql('p')} AS risk_level, CASE WHEN p >= 0.42e0 THEN ROUND(arpu, 6) ELSE 0e0 END AS expected_revenue_loss,
+  CASE WHEN p >= 0.42e0 THEN '{scoring.ALERT_CHANNELS}' ELSE 'None' END AS alert_channel,
+  CASE WHEN p >= 0.42e0 THEN '' ELSE '{scoring.QUIET_REASON}' END AS suppress_reason, DATE '2024-02-01' AS log_day
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY batch_id) AS total_customers,
+  COUNT(*) FILTER (p >= 0.42e0) OVER (PARTITION BY batch_id) AS alert_required_count FROM b)""",
+                 a="""SELECT n // 20 AS batch_id, CAST(ROW_NUMBER() OVER (PARTITION BY n // 20 ORDER BY "PID", "EffectiveSegment") - 1 AS INT) AS position, n,
+  CASE WHEN bad THEN '' ELSE "PID" END AS customer_id, CASE WHEN bad THEN 0 ELSE CAST("Total_SUBs" AS DOUBLE) END AS subs,
+  CASE WHEN bad THEN 0 ELSE "TotalRevenue" END AS revenue, CASE WHEN bad THEN 0 ELSE COALESCE("ARPU", "TotalRevenue" / "Total_SUBs") END AS arpu,
+  CASE WHEN bad THEN 0 ELSE "AvgMobileRevenue" END AS mobile, CASE WHEN bad THEN 0 ELSE CAST("Active_subscribers" AS DOUBLE) END AS active,
+  CASE WHEN bad THEN 0 ELSE COALESCE(CAST("Not_Active_subscribers" AS DOUBLE), 0) END AS inactive,
+  CASE WHEN bad THEN 0 ELSE COALESCE(CAST("Suspended_subscribers" AS DOUBLE), 0) END AS suspended,
+  NOT bad AND n % 3 = 0 AND n % 10 >= 6 AS history
+FROM (SELECT *, CAST("PID" AS BIGINT) AS n, CAST("PID" AS BIGINT) % 7 = 0 AS bad FROM crm_accounts)""",
+                 s=f"""SELECT *, 1 / (1 + EXP(-(-1.4e0 * {_share_sql('active', 'subs')} + 0.9e0 * {_share_sql('inactive', 'subs')}
+    + 0.7e0 * {_share_sql('suspended', 'subs')} + 0.25e0 * {_share_sql('mobile', 'revenue')} + 0.00001e0 * COALESCE(revenue / NULLIF(active, 0), 0)))) AS t,
+  CASE WHEN subs > 2 THEN 1 / (1 + EXP(-{_share_sql('inactive', 'subs')})) END AS q,
+  1 / (1 + EXP(-(0.5e0 * {_share_sql('mobile', 'revenue')} - 0.2e0))) AS r FROM a""",
+                 b="""SELECT *, CASE WHEN q IS NOT NULL AND history THEN t * 0.3e0 + q * 0.3e0 + r * 0.4e0
+  WHEN q IS NOT NULL THEN t * 0.7e0 + q * 0.2e0 + r * 0.1e0 WHEN history THEN t * 0.4e0 + r * 0.6e0 ELSE t * 0.8e0 + r * 0.2e0 END AS p FROM s"""))
+def batch_scoring(feeds: Feeds) -> DataFrame:
+    """Batches of request texts to answers with suppress reasons, closed, and opened again as log rows."""
+    threshold = payloads.policy_threshold(F.lit('{"selected_threshold": 0.42}'))
+    closed = scoring.answered_batches(request_batches(feeds), "batch_id", "bodies", rule_scores, threshold)
+    counted = closed.select("batch_id", "total_customers", "alert_required_count")
+    log = scoring.log_rows(closed, "batch_id", F.lit("2024-02-01").cast("date"))
+    return rounded(log.join(counted, "batch_id").select(
+        "batch_id", "total_customers", "alert_required_count", "position", "customer_id", "table_probability", "sequence_probability",
+        "churn_probability", "prediction_threshold", "churn_prediction", "risk_level", "expected_revenue_loss", "alert_channel",
+        "suppress_reason", "log_day"))
