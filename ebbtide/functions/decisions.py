@@ -107,6 +107,18 @@ def alert_channel(level: Column, priority: Column) -> Column:
     return F.when(urgent & priority, "Slack,Gmail").when(urgent, "Slack").otherwise("None")
 
 
+def suppress_reason(level: Column, closed: Column, repeated: Column) -> Column:
+    """Why an event stays quiet, null when it alerts: its level, a resolved case, or an alert not long ago."""
+    normal = normal_risk(level)
+    return (
+        F.when(normal == "LOW", REASON_LOW)
+        .when(normal == "MEDIUM", REASON_MEDIUM)
+        .when(closed, REASON_RESOLVED)
+        .when(repeated & (normal == "CRITICAL"), REASON_CRITICAL)
+        .when(repeated, REASON_HIGH)
+    )
+
+
 def alert_decision(
     level: Column, probability: Column, last_alert: Column, now: Column, status: Column,
     previous_probability: Column, previous_level: Column, vip: Column, high_revenue: Column,
@@ -119,16 +131,10 @@ def alert_decision(
     """
     normal = normal_risk(level)
     hours = F.when(normal == "CRITICAL", CRITICAL_REPEAT_HOURS).otherwise(HIGH_REPEAT_HOURS)
-    due = last_alert.isNull() | (now - last_alert >= hours * 3_600_000_000)
-    reason = (
-        F.when(normal == "LOW", REASON_LOW)
-        .when(normal == "MEDIUM", REASON_MEDIUM)
-        .when(spiked(probability, previous_probability) | escalated(level, previous_level), F.lit(None))
-        .when(resolved(status) & last_alert.isNotNull(), REASON_RESOLVED)
-        .when(due, F.lit(None))
-        .when(normal == "CRITICAL", REASON_CRITICAL)
-        .otherwise(REASON_HIGH)
-    )
+    due = last_alert.isNull() | F.coalesce(now - last_alert >= hours * 3_600_000_000, F.lit(False))
+    forced = spiked(probability, previous_probability) | escalated(level, previous_level)
+    closed = resolved(status) & last_alert.isNotNull()
+    reason = suppress_reason(level, ~forced & closed, ~forced & ~closed & ~due)
     required = reason.isNull()
     priority = F.coalesce(vip, F.lit(False)) | F.coalesce(high_revenue, F.lit(False))
     return F.struct(

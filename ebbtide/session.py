@@ -25,6 +25,9 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # states with timers need this store; large states stay out of the heap
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         # methods above 8 kB of bytecode are never compiled by the JVM: let wide projections fall back
         # to Spark's split methods instead
         .config("spark.sql.codegen.hugeMethodLimit", "8000")

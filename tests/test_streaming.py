@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ebbtide.operators import windows_agg as wa
 from ebbtide.plans.activity import USAGE_DAYS
 from ebbtide.sources.feeds import USAGE_CUTOFF
 from ebbtide.streaming import aggregates, sinks
-from ebbtide.streaming.alerts import alert_stream
+from ebbtide.streaming.alerts import alert_stream, verdicts
 
 
 def write_parts(frame, path, column, parts):
@@ -84,6 +85,66 @@ def test_alerts_equal_a_sequential_fold_across_restarts(spark, alert_input, tmp_
     assert any(want.values()) and not all(want.values())
 
 
+def known_before(events):
+    """What the policy knows before each event: last alert, probability and level of the event before."""
+    out, state = {}, {}
+    answers = fold(events)
+    for e in sorted(events, key=lambda r: (r["event_time"], r["event_id"])):
+        out[e["event_id"]] = state.get(e["customer_id"], (None, None, None))
+        p = e["churn_probability"]
+        level = "Critical" if p >= .8 else "High" if p >= .65 else "Medium" if p >= .5 else "Low"
+        state[e["customer_id"]] = (e["event_time"] if answers[e["event_id"]] else out[e["event_id"]][0], p, level)
+    return out
+
+
+def test_stream_and_column_rule_agree(spark, alert_input, tmp_path):
+    """Level, channel and reason of the stream are those of the batch rule with what was known before each event."""
+    alert_input.coalesce(1).write.parquet(str(tmp_path / "in"))
+    run(spark, tmp_path / "in", alert_input.schema, tmp_path)
+    known = [(k, t, p, level) for k, (t, p, level) in known_before([r.asDict() for r in alert_input.collect()]).items()]
+    before = spark.createDataFrame(known, "event_id bigint, last timestamp, pp double, pl string")
+    rule = d.alert_decision(
+        d.risk_level("churn_probability"), F.col("churn_probability"), F.unix_micros("last"), F.unix_micros("event_time"),
+        F.col("response_status"), F.col("pp"), F.col("pl"), F.col("is_vip_customer"), F.col("is_high_revenue_customer"))
+    want = alert_input.join(before, "event_id").select(
+        "event_id", d.risk_level("churn_probability").alias("risk_level"), rule.alias("r")).select(
+        "event_id", "risk_level", "r.alert_required", "r.alert_channel", "r.suppress_reason")
+    got = spark.read.parquet(str(tmp_path / "log")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.select("suppress_reason").distinct().count() >= 4
+
+
+def test_quiet_customers_are_forgotten(spark, tmp_path):
+    schema = ("event_id bigint, customer_id bigint, event_time timestamp, churn_probability double, response_status string, "
+              "is_vip_customer boolean, is_high_revenue_customer boolean")
+
+    def put(rows):
+        made = spark.createDataFrame(
+            [(i, c, t, 0.9, status, None, None) for i, c, t, status in rows],
+            schema.replace("event_time timestamp", "event_time string")).withColumn("event_time", F.to_timestamp("event_time"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = alert_stream(stream, delay="1 hour", keep_hours=48)
+        sinks.run_available(out, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination(300)
+
+    put([(1, 1, "2024-01-01 00:00:00", None), (2, 1, "2024-01-01 10:00:00", None), (3, 2, "2024-01-01 10:00:00", None)])
+    put([(4, 1, "2024-01-02 08:00:00", "completed"), (5, 1, "2024-01-02 07:00:00", None)])  # 5 is earlier than 4
+    put([(6, 3, "2024-01-20 00:00:00", None)])  # the watermark passes the timers of the others
+    put([(7, 1, "2024-01-21 00:00:00", "completed"), (8, 3, "2024-01-20 01:00:00", "completed"), (9, 2, "2024-01-03 00:00:00", None)])
+    got = {r["event_id"]: r["suppress_reason"] for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert got == {1: None, 2: d.REASON_CRITICAL, 3: None, 4: d.REASON_RESOLVED, 5: None, 6: None, 7: None, 8: d.REASON_RESOLVED}
+
+
+def test_verdicts_depend_on_the_last_alert():
+    hour = 3_600_000_000
+    ask = lambda t, p, rank, closed, last=None, bp=None, br=None: verdicts(
+        np.array(t) * hour, np.array(p), np.array(rank), np.array(closed), np.where(np.array(rank) == 3, 24, 72), last, bp, br)
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in ask([0, 23, 24, 50], [.9] * 4, [3] * 4, [False] * 4)] == [[0, 2, 0, 0], 50 * hour]
+    # an escalation alerts at once, a resolved case stays quiet, low levels change nothing
+    found, last = ask([1, 2, 3, 4], [.7, .9, .9, .1], [2, 3, 3, 0], [False, True, True, True], last=0, bp=.7, br=2)
+    assert found.tolist() == [2, 0, 1, 0] and last == 2 * hour
+
+
 def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     write = sinks.append_once(str(tmp_path / "log"))
     for rows in ([(1, "a")], [(1, "a"), (2, "b")]):
