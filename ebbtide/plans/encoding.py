@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.numeric import rounded
 from ebbtide.operators import crm, encoders, sampling
+from ebbtide.operators.category_stage import RareOneHot
 from ebbtide.plans.accounts import PREPARED
 from ebbtide.plans.catalog import query
 from ebbtide.plans.statements import statement
+from ebbtide.session import pin
 from ebbtide.sources.feeds import Feeds
 
 SEED = "42"
@@ -213,7 +216,8 @@ JOIN (SELECT q.fold, (SELECT AVG(y) FROM f g WHERE g.fold <> q.fold) AS m FROM (
 def oof_target(feeds: Feeds) -> DataFrame:
     """Out-of-fold target encodings with both kinds of prior."""
     rows = _train(account_rows(feeds)).select("row_id", "ka", "region", "y")
-    folded = sampling.stratified_folds(rows, "row_id", "y", SEED, 5)
+    # slim rows, read by both encodings and their joins
+    folded = pin(sampling.stratified_folds(rows, "row_id", "y", SEED, 5))
     by_account = encoders.out_of_fold_table(folded, "ka", "y", "fold", 25.0, "ka")
     by_region = encoders.out_of_fold_table(folded, "region", "y", "fold", 60.0, "region", fold_prior=True)
     encoded = folded.join(by_account, ["ka", "fold"], "left").join(by_region, ["region", "fold"], "left")
@@ -229,14 +233,22 @@ def ordinal_encode(feeds: Feeds) -> DataFrame:
     return encoders.ordinal_encode(rows, _train(rows), "zip", "zip_code").select("row_id", "zip_code")
 
 
-@query(statement("crm_accounts", """SELECT row_id, COALESCE(c.code, (SELECT COUNT(*) FROM c)) AS zip_index, c.code IS NULL AS zip_index_rare
-FROM x LEFT JOIN c ON c.zip = x.zip""", **_LINES,
+@query(statement("crm_accounts", """SELECT row_id, COALESCE(c.code, (SELECT COUNT(*) FROM c)) AS zip_index, c.code IS NULL AS zip_index_rare,
+  (SELECT COUNT(*) FROM c) + 1 AS hot_width, COALESCE(c.code, (SELECT COUNT(*) FROM c)) AS hot_at, CASE WHEN c.code = 0 THEN 1e0 ELSE 0e0 END AS hot_first,
+  CASE WHEN c.code IS NULL THEN 1e0 ELSE 0e0 END AS hot_rare, 1e0 AS hot_sum FROM x LEFT JOIN c ON c.zip = x.zip""", **_LINES,
                  c="""SELECT zip, ROW_NUMBER() OVER (ORDER BY zip) - 1 AS code
 FROM (SELECT zip FROM t WHERE zip IS NOT NULL GROUP BY zip HAVING COUNT(*) >= 5)"""))
 def onehot_infrequent(feeds: Feeds) -> DataFrame:
-    """One-hot index with rare and unseen categories in one bucket."""
+    """One-hot index and columns with rare and unseen categories in one bucket."""
     rows = account_rows(feeds).select("row_id", "zip", "part")
-    return encoders.one_hot_index(rows, _train(rows), "zip", "zip_index").select("row_id", "zip_index", "zip_index_rare")
+    indexed = encoders.one_hot_index(rows, _train(rows), "zip", "zip_index")
+    model = RareOneHot(inputCol="zip", outputCol="hot").fit(_train(rows))
+    hot = vector_to_array("hot")
+    wide = model.transform(indexed).withColumn("hot", hot)
+    return wide.select(
+        "row_id", "zip_index", "zip_index_rare", F.size("hot").cast("bigint").alias("hot_width"),
+        (F.array_position("hot", F.lit(1.0)) - 1).alias("hot_at"), F.col("hot")[0].alias("hot_first"), F.element_at("hot", -1).alias("hot_rare"),
+        F.aggregate("hot", F.lit(0.0), lambda a, x: a + x).alias("hot_sum"))
 
 
 _NUMERIC = ("revenue", "subs", "arpu")
