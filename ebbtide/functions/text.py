@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterable
 
@@ -12,17 +13,20 @@ from ebbtide.functions.numeric import col
 
 
 
-def _folding() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from the Unicode tables."""
-    letters = [chr(c) for c in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]]
-    pairs = [(c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in letters]
-    single = [(c, base) for c, base in pairs if len(base) == 1]
+def _folding() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form holds ASCII: those that become one character, and those that become several."""
+    one, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if unicodedata.category(chr(code)) not in ("Cs", "Cn", "Co"):
+            base = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            if base:
+                (one if len(base) == 1 else several)[chr(code)] = base
     # the Cyrillic A looks like the Latin one and is meant as such in place names
-    single += [("\u0410", "A"), ("\u0430", "a")]
-    return "".join(c for c, _ in single), "".join(base for _, base in single)
+    return one | {"\u0410": "A", "\u0430": "a"}, several
 
 
-ACCENTED, UNACCENTED = _folding()
+_ONE, SEVERAL = _folding()
+ACCENTED, UNACCENTED = "".join(_ONE), "".join(_ONE.values())
 
 
 def blank_to_null(value: Column | str) -> Column:
@@ -65,8 +69,15 @@ def localised_number(value: Column | str) -> Column:
 
 
 def plain_name(value: Column | str) -> Column:
-    """Lower-case ASCII words joined by one space; missing becomes empty."""
+    """Lower-case ASCII words joined by one space; missing becomes empty.
+
+    Accents go, and every character with a compatibility form takes it: no-break spaces part words, ligatures and full-width letters are
+    letters. Characters that become several are looked up one by one, only in texts that hold such.
+    """
     folded = F.translate(F.coalesce(col(value).cast("string"), F.lit("")), ACCENTED, UNACCENTED)
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    folded = F.when(folded.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(folded)
     ascii_only = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "))
 

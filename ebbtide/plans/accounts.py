@@ -12,6 +12,7 @@ from ebbtide.operators import crm, payloads, wide
 from ebbtide.plans.activity import usage_shift_frame
 from ebbtide.plans.catalog import query
 from ebbtide.plans.statements import statement
+from ebbtide.session import pin
 from ebbtide.sources.common_schema import COMMON_COLUMNS, signal_pool as combine_signals, to_common, union_sources
 from ebbtide.sources.feeds import Feeds
 
@@ -224,9 +225,11 @@ FROM f""", p=PREPARED,
                  + " FROM p LEFT JOIN a ON a.account_id = p.account_id"))
 def pid_fallback(feeds: Feeds) -> DataFrame:
     """Training-row aggregates on every row; ids outside the training rows use their own values."""
-    df = crm.prepared(feeds.crm_accounts())
-    train = df.where(F.col("account_id").cast("bigint") % 3 != 0)
-    wide_rows = crm.with_pid_features(df, crm.pid_aggregates(train))
+    # the snapshot is built once; its training rows are summed and all rows looked up
+    used = [*crm.PID_SUMS.values(), *crm.PID_DISTINCT.values(), "ARPU", "PID", "account_id"]
+    df = pin(crm.prepared(feeds.crm_accounts()).select(*dict.fromkeys(used)))
+    train = F.col("account_id").cast("bigint") % 3 != 0
+    wide_rows = crm.with_pid_features(df, crm.pid_aggregates(df, only=train))
     out = rounded(wide_rows.select("PID", "EffectiveSegment", *_PID_SQL, "pid_revenue_share", "pid_subs_share",
                                    "pid_revenue_vs_mean", "pid_arpu_vs_mean", "log1p_pid_revenue_sum"))
     return out.withColumns({c: F.col(c) + 0.0 for c in ("pid_revenue_vs_mean", "pid_arpu_vs_mean")})
