@@ -59,7 +59,8 @@ def postal_norm(feeds: Feeds) -> DataFrame:
 
 
 def _plain_sql(text: str) -> str:
-    return (f"TRIM(REGEXP_REPLACE(LOWER(REGEXP_REPLACE(TRANSLATE({text}, '{ACCENTED}', '{UNACCENTED}'), "
+    plain = UNACCENTED.replace("'", "''")
+    return (f"TRIM(REGEXP_REPLACE(LOWER(REGEXP_REPLACE(TRANSLATE({text}, '{ACCENTED}', '{plain}'), "
             "'[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))")
 
 
@@ -68,14 +69,14 @@ UNION ALL SELECT -1 - c_custkey, MD5(CASE a WHEN 'nation 3' THEN 'third nation'
   LENGTH(CASE a WHEN 'nation 3' THEN 'third nation' WHEN 'nation 21' THEN 'nation xxi' ELSE a END)
 FROM (SELECT c_custkey, {_plain_sql("' (' || n_name || ') '")} AS a FROM customer JOIN nation ON n_nationkey = c_nationkey)
 UNION ALL SELECT -1000000000 - c_custkey, MD5(b), LENGTH(b)
-FROM (SELECT c_custkey, 'ij ' || LOWER(c_mktsegment) || ' fi ab 1 2' AS b FROM customer)""")
+FROM (SELECT c_custkey, 'ij ' || LOWER(c_mktsegment) || ' fi ab 12' AS b FROM customer)""")
 def name_norm(feeds: Feeds) -> DataFrame:
     """Whole texts folded to plain ASCII words, and names with other spellings replaced."""
     texts = feeds.table("documents").select("doc_id", plain_name("text").alias("n"))
     nations = feeds.table("customer").join(feeds.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     names = nations.select((-1 - F.col("c_custkey")).alias("doc_id"), places.place_name(
         F.concat(F.lit(" ("), F.col("n_name"), F.lit(") ")), {"nation 3": "third nation", "nation 21": "nation xxi"}).alias("n"))
-    # a ligature, a no-break space, another ligature, full-width letters and a fraction
+    # a ligature, a no-break space, another ligature, full-width letters and a fraction slash, which goes
     odd = feeds.table("customer").select((-1_000_000_000 - F.col("c_custkey")).alias("doc_id"), plain_name(F.concat(
         F.lit("\u0132\u00a0"), F.col("c_mktsegment"), F.lit("-\ufb01 \uff21\uff42 1\u20442"))).alias("n"))
     return texts.unionByName(names).unionByName(odd).select("doc_id", F.md5("n").alias("name_hash"), F.length("n").cast("bigint").alias("name_length"))
