@@ -31,7 +31,9 @@ class BallTree:
     end: np.ndarray
 
     @classmethod
-    def build(cls, points: np.ndarray) -> BallTree:
+    def build(cls, values: np.ndarray) -> BallTree:
+        """Nodes in double precision; the leaves keep the values as they are."""
+        points = values.astype(float)
         order = np.arange(len(points))
         centres, radii, children, begin, end = [], [], [], [], []
         todo = [(0, len(points), -1, 0)]
@@ -54,7 +56,23 @@ class BallTree:
                 middle = (b - a) // 2  # halves by rank: equal points cannot stop the split
                 order[a:b] = order[a:b][np.argpartition(own @ (other - far), middle)]
                 todo += [(a, a + middle, number, 0), (a + middle, b, number, 1)]
-        return cls(points, order, np.array(centres), np.array(radii), np.array(children), np.array(begin), np.array(end))
+        return cls(values, order, np.array(centres), np.array(radii), np.array(children), np.array(begin), np.array(end))
+
+
+#: No score, and the range that scores are cut to.
+NOTHING, LEAST, MOST = -(2**63) + 1, -(2**63) + 2, 2**63 - 1
+
+
+def exact_type(largest: int, dim: int) -> type:
+    """Numbers in which inner products of so large whole components are exact."""
+    most = largest * largest * max(dim, 1)
+    return float if most < 2**53 else np.int64 if most < 2**62 else object
+
+
+def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products as 64-bit integers, or doubles that are whole; unbounded ones are cut to 64 bits."""
+    value = queries @ points.T
+    return value if value.dtype != object else np.clip(value, LEAST, MOST).astype(np.int64)
 
 
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int):
@@ -63,13 +81,16 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     Every query opens its node of highest upper bound each round; it ends when that is below its current k-th score
     (``bound`` to begin with). A node of equal bound stays open: it may hold an equal score with a smaller id.
     """
-    norms = np.sqrt((queries ** 2).sum(axis=1))
+    plain = queries.astype(float)
+    norms = np.sqrt((plain ** 2).sum(axis=1))
     # rounding in the bound must never close a node: widen it a little
-    upper = queries @ tree.centres.T + norms[:, None] * tree.radii[None, :]
+    upper = plain @ tree.centres.T + norms[:, None] * tree.radii[None, :]
     upper += 1e-9 * (1 + np.abs(upper) + norms[:, None] * (1 + np.sqrt((tree.centres ** 2).sum(axis=1)))[None, :])
     open_ = np.full(upper.shape, -np.inf)
     open_[:, 0] = upper[:, 0]
-    scores = np.full((len(queries), k), -np.inf)
+    kind = float if queries.dtype == float else np.int64
+    none = -np.inf if kind is float else NOTHING
+    scores = np.full((len(queries), k), none, dtype=kind)
     found = np.full((len(queries), k), np.iinfo(np.int64).max)
     least = bound.copy()
     live = np.arange(len(queries))
@@ -86,15 +107,16 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
         for leaf in np.unique(node[~inner]).tolist():
             who = live[~inner][node[~inner] == leaf]
             rows = tree.order[tree.begin[leaf]:tree.end[leaf]]
-            value = queries[who] @ tree.points[rows].T
+            value = products(queries[who], tree.points[rows])
             name = np.broadcast_to(ids[rows], value.shape)
-            value[name == query_ids[who][:, None]] = -np.inf
+            value[name == query_ids[who][:, None]] = none
             value = np.concatenate([scores[who], value], axis=1)
             name = np.concatenate([found[who], name], axis=1)
-            name = np.where(value == -np.inf, np.iinfo(np.int64).max, name)
+            name = np.where(value == none, np.iinfo(np.int64).max, name)
             best = np.lexsort((name, -value), axis=1)[:, :k]
             scores[who], found[who] = np.take_along_axis(value, best, 1), np.take_along_axis(name, best, 1)
-            least[who] = np.maximum(least[who], scores[who, -1])
+            last = scores[who, -1]
+            least[who] = np.maximum(least[who], np.where(last <= LEAST, -np.inf, last.astype(float)))
     return scores, found
 
 
@@ -116,9 +138,11 @@ def top_k(
 
     Components become floor(factor * x). Ties go to the smaller id, then each row with that id counts. A row's own id is
     no candidate, so repeated rows with one id do not find each other. Rows without id, null vectors and vectors with null,
-    NaN or infinite components take no part; vectors of different length are never compared; empty ones score 0.
+    NaN or infinite components take no part; vectors of different length are never compared; empty ones score 0. Products are exact
+    for components of any size: doubles, 64-bit or unbounded integers, by the largest of a shard. A component that 64 bits
+    cannot hold becomes the nearest they can, and so does a score; scores that are cut to one number are ties.
 
-    Vectors are dealt by hash to shards of about ``shard_rows``, each with a ball tree, queries to blocks. A
+    Vectors are dealt by hash of id and vector to shards of about ``shard_rows``, each with a ball tree, queries to blocks. A
     block first searches one shard; its k-th scores go along to all other shards as the bound to beat. At most k
     rows per query and shard are merged. Every (block, shard) pair is a task's unit of work; it has no other state.
     """
@@ -133,8 +157,8 @@ def top_k(
         F.ceil(F.count_if(F.col("_id") % every == 0) / F.lit(float(QUERY_BLOCK))).cast("int").alias("_blocks"),
     )
     dealt = good.join(sizes, "_dim").withColumns({
-        "_shard": F.pmod(F.xxhash64("_id", F.lit(1)), "_shards").cast("int"),
-        "_block": F.when(F.col("_id") % every == 0, F.pmod(F.xxhash64("_id", F.lit(2)), "_blocks").cast("int")),
+        "_shard": F.pmod(F.xxhash64("_id", "_v", F.lit(1)), "_shards").cast("int"),
+        "_block": F.when(F.col("_id") % every == 0, F.pmod(F.xxhash64("_id", "_v", F.lit(2)), "_blocks").cast("int")),
     })
     dealt = pin(dealt)
 
@@ -184,7 +208,7 @@ def top_k(
         "_shard", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))
     ).where(F.col("_shard") != F.col("_first"))
     rest = matched(others.join(renamed, ["_dim", "_shard"]))
-    better = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
+    better = F.sort_array(F.collect_list(F.struct(F.expr("-score").alias("s"), F.col("vec_id").alias("v"))))
     # at most k rows per query and shard come together here
     merged = first.unionByName(rest).groupBy("_dim", "query_id").agg(F.slice(better, 1, k).alias("_best"))
     return merged.select("query_id", F.posexplode("_best").alias("_place", "_one")).select(
@@ -199,17 +223,18 @@ def _search_pair(row: dict, k: int) -> pa.RecordBatch | None:
     ids, points = matrix(row["_sids"], row["_svalues"])
     queries, back = np.unique(np.column_stack([query_ids, queries]), axis=0, return_inverse=True)
     query_ids, queries = queries[:, 0], queries[:, 1:]
-    # components of up to 2**20 and dimensions of up to 2**12 keep every sum below 2**53: doubles are exact
-    if dim and max(np.abs(points).max(), np.abs(queries).max()) ** 2 * dim >= 2**53:
-        raise ValueError("inner products beyond exact doubles")
+    largest = max((abs(int(x)) for m in (points, queries) if m.size for x in (m.min(), m.max())), default=0)
+    kind = exact_type(largest, dim)
     bound = np.full(len(queries), -np.inf)
     if row["_least"]:
         known, least = np.frombuffer(row["_least"], "<i8").reshape(2, -1)
         at = np.searchsorted(known, query_ids)
         ok = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == query_ids) if len(known) else np.zeros(len(at), bool)
+        # a score cut from below bounds nothing
+        ok[ok] = least[at[ok]] > LEAST
         bound[ok] = least[at[ok]]
-    scores, found = search(BallTree.build(points.astype(float)), ids, queries.astype(float), query_ids, bound, k)
-    real = scores > -np.inf
+    scores, found = search(BallTree.build(points.astype(kind)), ids, queries.astype(kind), query_ids, bound, k)
+    real = scores > (-np.inf if scores.dtype == float else NOTHING)
     line = np.nonzero(real)[0]
     if not len(line):
         return None
@@ -217,3 +242,4 @@ def _search_pair(row: dict, k: int) -> pa.RecordBatch | None:
         pa.array(np.full(len(line), dim, np.int32)), pa.array(np.full(len(line), row["_block"], np.int32)),
         pa.array(query_ids[line]), pa.array(found[real]), pa.array(scores[real].astype(np.int64)),
     ], ["_dim", "_block", "query_id", "vec_id", "score"])
+
