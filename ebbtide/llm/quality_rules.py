@@ -94,13 +94,11 @@ def quality_rules(
     least_words: int = 10,
     most_repeated: int = 20,
     line_docs: int = 20,
-    line_share: float = 0.1,
     left_share: float = 0.5,
 ) -> DataFrame:
     """Statistics, base rules and the line rule of every document.
 
-    A line (normalised, hashed) goes when more than ``line_docs`` documents of its host and more than ``line_share`` of
-    the host's documents hold it. A document is depleted when the lines left hold fewer than ``least_words`` words or
+    A line (normalised, hashed) goes when more than ``line_docs`` documents of its host hold it, however large the host is. A document is depleted when the lines left hold fewer than ``least_words`` words or
     less than ``left_share`` of its words. Base failure: fewer than ``least_words`` words, or over ``most_repeated`` per
     cent of the words in repeated 5-word windows. Returns doc_id, ``carry``, the cleaned text, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, n_line_words (words of removed lines), base_failed and kept.
@@ -126,10 +124,8 @@ def quality_rules(
     lines = placed.select("_id", "_mark", "_host", F.posexplode(first).alias("_place", "_x")).select(
         "_id", "_mark", "_host", "_place", F.col("_x.h").alias("_line"), F.col("_x.n").alias("_n"), F.col("_x.first").alias("_first")
     )
-    sizes = rows.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_docs"))
-    frequent = lines.groupBy("_host", "_line").agg(F.count_if("_first").alias("_in")).where(F.col("_in") > line_docs)
+    hot = lines.groupBy("_host", "_line").agg(F.count_if("_first").alias("_in")).where(F.col("_in") > line_docs)
     same = F.col("a._host").eqNullSafe(F.col("b._host"))
-    hot = frequent.alias("a").join(sizes.alias("b"), same).where(F.col("_in") > F.col("_docs") * line_share).select("a._host", "_line")
     hit = lines.alias("a").join(hot.alias("b"), same & (F.col("a._line") == F.col("b._line"))).select(
         "_id", "_mark", "_place", F.col("a._line").alias("_line"), "_n"
     )

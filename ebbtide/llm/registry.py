@@ -82,9 +82,7 @@ WITH d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS}
  dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line GROUP BY doc_id),
  norm AS (SELECT doc_id, source, lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS l,
    len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n FROM line),
- hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
- hot AS (SELECT f.source, l FROM (SELECT source, l, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, l) f
-   JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > docs * 0.1e0),
+ hot AS (SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT doc_id) > 20),
  gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN hot ON norm.l = hot.l AND norm.source IS NOT DISTINCT FROM hot.source GROUP BY doc_id),
  s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
