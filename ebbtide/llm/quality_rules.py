@@ -68,9 +68,10 @@ def _repeated_words(windows: str, width: int) -> Column:
 def statistics(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all bigint)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    parted = docs.withColumns({"_words": words_of(whole), "_lines": worded_lines(whole)})
+    # every word is hashed once; a window is the hash of its words' hashes
+    parted = docs.withColumns({"_words": F.transform(words_of(whole), lambda w: F.xxhash64(w)), "_lines": worded_lines(whole)})
     hashed = F.transform(
-        F.sequence(F.lit(1), F.size("_words") - (width - 1)), lambda i: F.xxhash64(F.slice("_words", i, width))
+        F.sequence(F.lit(0), F.size("_words") - width), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(width)])
     )
     windows = F.when(F.size("_words") >= width, hashed).otherwise(F.array().cast("array<bigint>"))
     counted = parted.withColumns({"_windows": windows})
