@@ -161,6 +161,7 @@ class _Pieces:
         self.first = np.flatnonzero(new)
         self.windows = np.diff(np.append(self.first, len(least)))
         self.keys = mix(seeds[least[self.first]] + np.uint64(3))
+        self.seeds = least[self.first] - self.starts[self.first]
         self.docs = doc[self.first]
         self.unique, self.of_piece, times = np.unique(self.keys, return_inverse=True, return_counts=True)
         self.again = times > 1
@@ -180,6 +181,40 @@ class _Pieces:
         return chosen, heads, part[order[new]], group
 
 
+def undecided(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: np.ndarray, width: int) -> np.ndarray:
+    """Which of some distinct pieces can share a ``width``-byte string with another one.
+
+    ``seed`` is where a piece's minimizer begins. A string that two pieces share has it at one place in both, so they agree in at least
+    half of the string's other bytes on its left or on its right. A piece that agrees with no other one there is its strings' only holder.
+    """
+    span = min(SEED, width)
+    half = (width - span) // 2
+    out = np.zeros(len(size), dtype=bool)
+    if not len(size):
+        return out
+    runs = rolling_bytes(data, span + half)
+    for low in (seed - half, seed):
+        inside = np.flatnonzero((low >= 0) & (low + span + half <= size))
+        _, which, times = np.unique(runs[begin[inside] + low[inside]], return_inverse=True, return_counts=True)
+        out[inside] |= times[which] > 1
+    return out
+
+
+def least_owners(
+    data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: np.ndarray, owner: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of every ``width``-byte string of distinct pieces, piece by piece, and where each piece's begin."""
+    windows = size - width + 1
+    first = np.cumsum(windows) - windows
+    least = np.repeat(owner, windows)
+    # the owner of a piece that holds its strings alone is the smallest id of its copies; the others go through the transform
+    among = np.flatnonzero(undecided(data, begin, size, seed, width))
+    cuts = np.concatenate([[0], np.cumsum(size[among])])
+    found, _ = first_owner(_bytes_at(data, begin[among], size[among]), cuts, owner[among], width)
+    least[np.repeat(first[among], windows[among]) + spread(windows[among])] = found
+    return least, first
+
+
 def _bytes_at(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(begin, size) + spread(size)]
 
@@ -204,7 +239,8 @@ def suffix_dedup(
 
     Texts are cut into pieces at their minimizers; only pieces whose minimizer comes again move. A block sends each of its
     distinct pieces once, with the smallest id that holds it, so a group of copies costs one piece per block. All pieces of a
-    minimizer meet in one collection, where the transform and common prefixes find equal strings.
+    minimizer meet in one collection, where the transform and common prefixes find equal strings among the pieces that agree
+    with another one beside the minimizer; no others can share a string.
     """
     named = list(dict.fromkeys(carry))
     schema = StructType([
@@ -232,6 +268,7 @@ def suffix_dedup(
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)]):
                     size = own.windows[heads[a:b]] + width - 1
                     body = size.astype("<u2").tobytes() + own.ids[own.docs[heads[a:b]]].astype("<i8").tobytes()
+                    body += own.seeds[heads[a:b]].astype("<u2").tobytes()
                     body += _bytes_at(own.data, own.starts[own.first[heads[a:b]]], size).tobytes()
                     out.append((rows.column("block")[row].as_py(), int(part[a]), b - a, squeeze.compress(body)))
                 if out:
@@ -250,15 +287,15 @@ def suffix_dedup(
             raw = [(n, grow.decompress(body)) for _, n, body in rows]
             size = np.concatenate([np.frombuffer(x, "<u2", n) for n, x in raw]).astype(np.int64)
             ids = np.concatenate([np.frombuffer(x, "<i8", n, 2 * n) for n, x in raw])
-            data = np.concatenate([np.frombuffer(x, np.uint8, -1, 10 * n) for n, x in raw])
+            seed = np.concatenate([np.frombuffer(x, "<u2", n, 10 * n) for n, x in raw]).astype(np.int64)
+            data = np.concatenate([np.frombuffer(x, np.uint8, -1, 12 * n) for n, x in raw])
             begin = np.cumsum(size) - size
             codes = hash_spans(data, begin, begin + size)
             _, head, group = np.unique(codes, return_index=True, return_inverse=True)
             owner = np.full(len(head), NO_ID)
             np.minimum.at(owner, group, ids)
-            cuts = np.concatenate([[0], np.cumsum(size[head])])
-            least, first = first_owner(_bytes_at(data, begin[head], size[head]), cuts, owner, width)
             windows = size - width + 1
+            least, first = least_owners(data, begin[head], size[head], seed[head], owner, width)
             gone = least[np.repeat(first[group], windows) + spread(windows)] < np.repeat(ids, windows)
             edges = np.concatenate([[0], np.cumsum(windows)])[np.cumsum([0, *(n for n, _ in raw)])]
             yield pa.RecordBatch.from_arrays([
