@@ -25,7 +25,10 @@ from ebbtide.session import pin
 GROUP, MOST_PIVOTS = 512, 1024
 #: Candidates held by a task before it passes on the best of each vector.
 HELD = 1 << 20
-GRAPH = "node long, code binary, kth double, ids binary, far binary, fresh binary, changed int"
+#: Nodes and queries of a task: a small table is not dealt into more tasks than it needs, whatever the shuffle partitions.
+NODES, QUERIES = 512, 16
+GRAPH = ("node long, code binary, kth double, ids array<long>, far array<float>, fresh binary, "
+         "drawn array<long>, old array<long>, changed int")
 
 
 @dataclass(frozen=True)
@@ -99,8 +102,20 @@ def best_of_rows(row: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> n
 
 
 def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
-    """A binary column of equally long values as a matrix."""
-    return bytes_of(column)[0].view(kind).reshape(len(column), width)
+    """A column of equally long lists or binary values as a matrix."""
+    values = bytes_of(column)[0].view(kind) if pa.types.is_binary(column.type) else column.flatten().to_numpy()
+    return values.reshape(len(column), width)
+
+
+def _lists(rows: np.ndarray, marked: np.ndarray | None = None) -> pa.Array:
+    """The rows of a matrix, or their marked places, as lists."""
+    marked = np.ones(rows.shape, dtype=bool) if marked is None else marked
+    cuts = np.append(0, np.cumsum(marked.sum(axis=1))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(rows[marked]))
+
+
+def _tasks(count: int, each: int) -> int:
+    return max(1, math.ceil(count / each))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -147,7 +162,7 @@ def _sampled(ids: np.ndarray, nodes: np.ndarray, fresh: np.ndarray, turn: int, c
     return out[0], out[1]
 
 
-def _first_lists(points: DataFrame, codes: Codes, sets: list[Codes], kind: str, use: Settings) -> DataFrame:
+def _first_lists(points: DataFrame, codes: Codes, sets: list[Codes], kind: str, use: Settings, tasks: int) -> DataFrame:
     """The graph of the groups around the pivots of every set: each vector's nearest ones in its groups."""
     k = use.lists
 
@@ -175,7 +190,7 @@ def _first_lists(points: DataFrame, codes: Codes, sets: list[Codes], kind: str,
             "far": [far[i, n].astype("<f4").tobytes() for i, n in enumerate(near)],
         }) if len(row) else pa.table({"node": nodes, "ids": [b""] * len(nodes), "far": [b""] * len(nodes)})
 
-    cells = pin(points.mapInArrow(placed, "node long, code binary, number int, dim int, cell int"))
+    cells = pin(points.coalesce(tasks).mapInArrow(placed, "node long, code binary, number int, dim int, cell int"))
     key = ["number", "dim", "cell"]
     loads = cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(GROUP))).cast("int").alias("pieces"))
     # a crowded cell is dealt into pieces: groups stay small, the rounds join what the pieces part
@@ -185,12 +200,12 @@ def _first_lists(points: DataFrame, codes: Codes, sets: list[Codes], kind: str,
     # a list per set comes together here
     known = lists.groupBy("node").agg(F.collect_list("ids").alias("found"), F.collect_list("far").alias("measured"))
     start = own.join(known, "node").withColumns({
-        "ids": F.lit(None).cast("binary"), "far": F.lit(None).cast("binary"), "fresh": F.lit(None).cast("binary")})
-    return pin(_updated(start, use, 0))
+        "ids": F.lit(None).cast("array<long>"), "far": F.lit(None).cast("array<float>"), "fresh": F.lit(None).cast("binary")})
+    return pin(_updated(start, use, 1, tasks))
 
 
-def _updated(rows: DataFrame, use: Settings, turn: int) -> DataFrame:
-    """Lists joined with the found candidates; drawn members of the turn are no longer fresh."""
+def _updated(rows: DataFrame, use: Settings, turn: int, tasks: int) -> DataFrame:
+    """Lists joined with the found candidates, and the members drawn for the coming turn, which are no longer fresh."""
     k = use.lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +215,6 @@ def _updated(rows: DataFrame, use: Settings, turn: int) -> DataFrame:
                 ids, far, fresh = np.full((n, k), -1), np.full((n, k), np.inf, "<f4"), np.zeros((n, k), bool)
             else:
                 ids, far, fresh = (_fixed(batch.column(c), t, k) for c, t in (("ids", "<i8"), ("far", "<f4"), ("fresh", "?")))
-                fresh = fresh & ~_sampled(ids, nodes, fresh, turn, use.sample)[0]
             found = [b"".join(x or ()) for x in batch.column("found").to_pylist()]
             count = np.array([len(x) // 8 for x in found])
             row = np.concatenate([np.repeat(np.arange(n), k), np.repeat(np.arange(n), count)])
@@ -214,38 +228,31 @@ def _updated(rows: DataFrame, use: Settings, turn: int) -> DataFrame:
             ids, far, fresh = np.full((n, k), -1, "<i8"), np.full((n, k), np.inf, "<f4"), np.zeros((n, k), bool)
             ids[line, place], far[line, place], fresh[line, place] = all_ids[best], all_far[best], all_fresh[best]
             changed = np.bincount(line[best >= n * k], minlength=n)
+            drawn, old = _sampled(ids, nodes, fresh, turn, use.sample)
             yield pa.RecordBatch.from_arrays([
-                batch.column("node"), batch.column("code"), pa.array(far[:, -1].astype(float)), _binary(ids), _binary(far),
-                _binary(fresh), pa.array(changed.astype(np.int32)),
-            ], ["node", "code", "kth", "ids", "far", "fresh", "changed"])
+                batch.column("node"), batch.column("code"), pa.array(far[:, -1].astype(float)), _lists(ids), _lists(far),
+                _binary(fresh & ~drawn), _lists(ids, drawn), _lists(ids, old), pa.array(changed.astype(np.int32)),
+            ], ["node", "code", "kth", "ids", "far", "fresh", "drawn", "old", "changed"])
 
-    return rows.select("node", "code", "ids", "far", "fresh", "found", "measured").mapInArrow(run, GRAPH)
+    return rows.select("node", "code", "ids", "far", "fresh", "found", "measured").coalesce(tasks).mapInArrow(run, GRAPH)
 
 
 def _meetings(graph: DataFrame, use: Settings, turn: int) -> DataFrame:
     """(at, who, fresh): the drawn members of the list of ``at``, and drawn vectors that list it."""
-    k = use.lists
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            ids, fresh = _fixed(batch.column("ids"), "<i8", k), _fixed(batch.column("fresh"), "?", k)
-            for drawn, new in zip(_sampled(ids, nodes, fresh, turn, use.sample), (True, False)):
-                row, place = np.nonzero(drawn)
-                own, other = nodes[row], ids[row, place]
-                for at, who, back in ((own, other, False), (other, own, True)):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(at), pa.array(who), pa.array(np.full(len(at), new)), pa.array(np.full(len(at), back)),
-                    ], ["at", "who", "fresh", "back"])
+    def marked(column: str, fresh: bool) -> Column:
+        return F.transform(column, lambda x: F.struct(x.alias("other"), F.lit(fresh).alias("fresh")))
 
-    drawn = graph.select("node", "ids", "fresh").mapInArrow(run, "at long, who long, fresh boolean, back boolean")
+    members = F.explode(F.concat(marked("drawn", True), marked("old", False)))
+    drawn = graph.select("node", members.alias("m")).select("node", "m.other", "m.fresh")
     # a vector in very many lists hears of a drawn part of them only
     some = Window.partitionBy("at", "fresh").orderBy(F.xxhash64("who", "at", F.lit(turn)), "who")
-    back = drawn.where("back").withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= use.sample)
-    return drawn.where("not back").select("at", "who", "fresh").unionByName(back.select("at", "who", "fresh"))
+    back = drawn.select(F.col("other").alias("at"), F.col("node").alias("who"), "fresh")
+    back = back.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= use.sample)
+    own = drawn.select(F.col("node").alias("at"), F.col("other").alias("who"), "fresh")
+    return own.unionByName(back.select("at", "who", "fresh"))
 
 
-def _compared(meetings: DataFrame, codes: Codes, use: Settings) -> DataFrame:
+def _compared(meetings: DataFrame, codes: Codes, use: Settings, tasks: int) -> DataFrame:
     """(node, found, measured): who met whom nearer than the last of its list, joined per task."""
     k = use.lists
 
@@ -291,8 +298,8 @@ def _compared(meetings: DataFrame, codes: Codes, use: Settings) -> DataFrame:
             yield from best(held)
 
     parts = parts_of(meetings)
-    sorted_ = meetings.select("at", "fresh", "who", "kth", "code").repartition(parts, "at").sortWithinPartitions("at")
-    return sorted_.mapInArrow(run, "node long, found binary, measured binary").groupBy("node").agg(
+    dealt = meetings.select("at", "fresh", "who", "kth", "code").repartition(parts, "at").coalesce(tasks)
+    return dealt.sortWithinPartitions("at").mapInArrow(run, "node long, found binary, measured binary").groupBy("node").agg(
         # at most a list per task comes together here
         F.collect_list("found").alias("found"), F.collect_list("measured").alias("measured"))
 
@@ -318,13 +325,15 @@ def _slices(table: pa.Table, keys: np.ndarray, edges: list[int], names: Sequence
         yield keys[a], *(c[a:b] for c in columns)
 
 
-def neighbour_graph(points: DataFrame, codes: Codes, sets: list[Codes], kind: str, use: Settings, rounds: int) -> DataFrame:
+def neighbour_graph(points: DataFrame, codes: Codes, sets: list[Codes], kind: str, use: Settings, rounds: int, tasks: int) -> DataFrame:
     """NN-descent over (node, raw): the rows of ``GRAPH``, lists of ids and squared distances by distance, -1 where none."""
-    graph = _first_lists(points, codes, sets, kind, use)
+    graph = _first_lists(points, codes, sets, kind, use, tasks)
     for turn in range(1, rounds + 1):
         known = graph.select(F.col("node").alias("who"), "code", "kth")
-        met = _compared(_meetings(graph, use, turn).join(known, "who"), codes, use)
-        graph = pin(_updated(graph.select("node", "code", "ids", "far", "fresh").join(met, "node", "left"), use, turn))
+        met = _compared(_meetings(graph, use, turn).join(known, "who"), codes, use, tasks)
+        graph = pin(_updated(graph.select("node", "code", "ids", "far", "fresh").join(met, "node", "left"), use, turn + 1, tasks))
+        if turn == rounds:
+            break
         moved, size = graph.agg(F.sum("changed"), F.count(F.lit(1))).first()
         if (moved or 0) <= use.enough * size * use.lists:
             break
@@ -333,83 +342,73 @@ def neighbour_graph(points: DataFrame, codes: Codes, sets: list[Codes], kind: st
 
 def _paths(graph: DataFrame, use: Settings) -> DataFrame:
     """(node, next): a node's list and up to as many of the nearest nodes that list it."""
-    k = use.lists
+    listed = graph.select("node", F.explode(F.arrays_zip("ids", "far")).alias("m")).where("m.ids >= 0")
+    edges = listed.select(F.col("m.ids").alias("node"), F.col("node").alias("other"), "m.far")
+    near = Window.partitionBy("node").orderBy("far", "other")
+    back = edges.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= use.lists)
+    met = graph.select("node", "ids").join(back.groupBy("node").agg(F.collect_list("other").alias("back")), "node", "left")
+    return met.select("node", F.array_union(_real("ids"), F.coalesce("back", _no_ids())).alias("next"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            ids, far = _fixed(batch.column("ids"), "<i8", k), _fixed(batch.column("far"), "<f4", k)
-            row, place = np.nonzero(ids >= 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row, place]), pa.array(nodes[row]), pa.array(far[row, place])], ["node", "other", "far"])
 
-    edges = graph.select("node", "ids", "far").mapInArrow(run, "node long, other long, far float")
-    near = Window.partitionBy("node").orderBy("far", "other")
-    back = edges.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).select("node", "other")
-    both = edges.select(F.col("other").alias("node"), F.col("node").alias("other")).unionByName(back)
-    return both.groupBy("node").agg(F.collect_set("other").alias("next"))
+def _real(ids: str) -> Column:
+    return F.filter(ids, lambda x: x >= 0)
+
+
+def _no_ids() -> Column:
+    return F.array().cast("array<long>")
 
 
-STATE = "query long, code binary, ids binary, far binary, opened binary, seen binary, step array<long>"
+STATE = "query long, code binary, ids array<long>, far array<double>, opened array<boolean>, seen array<long>, step array<long>"
 
 
-def _searched(queries: DataFrame, graph: DataFrame, codes: Codes, use: Settings) -> DataFrame:
-    """(query, ids): the beam of every query node after a greedy search of the graph from the node itself.
+def _searched(queries: DataFrame, graph: DataFrame, codes: Codes, use: Settings, tasks: int, each: int) -> DataFrame:
+    """(query, ids): the beam of every query node after a greedy search of the graph from the node itself and its list.
 
     Every round opens the nearest unopened nodes of each beam, measures the nodes they lead to that the query has not seen, and
-    keeps the nearest ones. A query ends when its beam is open.
+    keeps the nearest ones. A query ends when its beam is open. ``tasks`` hold the graph, ``each`` the queries.
     """
-    parts, names = parts_of(graph), ["query", "code", "ids", "far", "opened", "seen", "step"]
-    known = pin(graph.select("node", "code").repartition(parts, "node"))
-    paths = pin(_paths(graph, use))
-
-    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for query, seen, lists in zip(*(batch.column(c).to_pylist() for c in ("query", "seen", "lists"))):
-                reached = np.unique(np.concatenate([np.asarray(x, "<i8") for x in lists]))
-                new = np.setdiff1d(reached, np.frombuffer(seen, "<i8"), assume_unique=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), query)), pa.array(new)], ["query", "node"])
+    known = graph.select("node", "code")
+    paths = pin(_paths(graph, use).coalesce(tasks))
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                ids, far, opened = (np.frombuffer(r[c], t) for c, t in (("ids", "<i8"), ("far", "<f8"), ("opened", "?")))
-                seen = np.frombuffer(r["seen"], "<i8")
+            for r in batch.select(["code", "ids", "far", "opened", "step", "nodes", "codes"]).to_pylist():
+                ids, far, opened = (np.array(r[c], t) for c, t in (("ids", "<i8"), ("far", "<f8"), ("opened", "?")))
                 opened = opened | np.isin(ids, r["step"])
                 if r["nodes"]:
                     new = np.array(r["nodes"], "<i8")
                     away = squared(codes.decode([r["code"]]), codes.decode(r["codes"]))[0]
                     ids, far = np.concatenate([ids, new]), np.concatenate([far, away])
                     opened = np.concatenate([opened, np.zeros(len(new), bool)])
-                    seen = np.sort(np.concatenate([seen, new]))
                     keep = np.lexsort((ids, far))[:use.beam]
                     ids, far, opened = ids[keep], far[keep], opened[keep]
-                step = ids[~opened][:use.step].tolist()
-                rows.append((r["query"], r["code"], ids.tobytes(), far.tobytes(), opened.tobytes(), seen.tobytes(), step))
-            types = (pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    start = queries.select(F.col("node").alias("query")).distinct().join(known.withColumnRenamed("node", "query"), "query")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _binary(batch.column("query").to_numpy().reshape(-1, 1))
-            zero = pa.array([np.zeros(1).tobytes()] * batch.num_rows, pa.binary())
-            shut = pa.array([b"\0"] * batch.num_rows, pa.binary())
-            step = pa.array([[x] for x in batch.column("query").to_pylist()], pa.list_(pa.int64()))
+                rows.append((ids, far, opened, ids[~opened][:use.step]))
+            types = (pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+            ids, far, opened, step = (pa.array(c, pa.list_(t)) for c, t in zip(zip(*rows), types))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("code"), ids, zero, shut, ids, step], names)
-
-    live, ended = pin(start.mapInArrow(first, STATE)), []
+                [batch.column("query"), batch.column("code"), ids, far, opened, batch.column("seen"), step],
+                ["query", "code", "ids", "far", "opened", "seen", "step"])
+
+    # the list of a query's node is measured already
+    own = graph.join(queries.select("node").distinct(), "node").select(
+        F.col("node").alias("query"), "code", F.concat(F.array("node"), _real("ids")).alias("ids"),
+        F.concat(F.array(F.lit(0.0)), F.col("far").cast("array<double>")).alias("far"))
+    start = own.select(
+        "query", "code", F.slice("ids", 1, use.beam).alias("ids"),
+        F.slice("far", F.lit(1), F.least(F.size("ids"), F.lit(use.beam))).alias("far"),
+        F.transform(F.slice("ids", 1, use.beam), lambda x: F.lit(False)).alias("opened"), F.col("ids").alias("seen"),
+        F.slice("ids", 1, min(use.beam, use.step)).alias("step"))
+    live, ended = pin(start.coalesce(each)), []
     while True:
         steps = live.select("query", F.explode("step").alias("node")).join(paths, "node")
-        lists = steps.groupBy("query").agg(F.collect_list("next").alias("lists"))
-        new = live.select("query", "seen").join(lists, "query").mapInArrow(unseen, "query long, node long")
+        lists = steps.groupBy("query").agg(F.flatten(F.collect_list("next")).alias("reached"))
+        new = live.select("query", "seen").join(lists, "query").select("query", F.explode(F.array_except("reached", "seen")).alias("node"))
         met = new.join(known, "node").groupBy("query").agg(
             F.collect_list(F.struct("node", "code")).alias("_met")
         ).select("query", F.col("_met.node").alias("nodes"), F.col("_met.code").alias("codes"))
-        state = pin(live.join(met, "query", "left").mapInArrow(moved, STATE))
+        told = live.join(met, "query", "left").withColumn("seen", F.concat("seen", F.coalesce("nodes", _no_ids())))
+        state = pin(told.coalesce(each).mapInArrow(moved, STATE))
         ended.append(state.where(F.size("step") == 0).select("query", "ids"))
         live = state.where(F.size("step") > 0)
         if live.isEmpty():
@@ -447,12 +446,14 @@ def nearest_found(
     chosen = points.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(per_set * use.sets).collect()
     sets = [_pivots([r.raw for r in chosen[n::use.sets]], kind) for n in range(use.sets)]
     rounds = use.rounds or max(4, math.ceil(math.log2(count + 1) / 3))
-    graph = neighbour_graph(points.select("node", "raw"), sets[0], sets, kind, use, rounds)
+    tasks = _tasks(count, NODES)
+    graph = neighbour_graph(points.select("node", "raw"), sets[0], sets, kind, use, rounds, tasks)
 
     asked = rows.where(F.col("vec_id") % every == 0).join(points.select("raw", "node"), "raw")
     asked = pin(asked.select(F.col("vec_id").alias("query_id"), "node", "raw"))
-    beams = _searched(asked, graph, sets[0], use)
-    return _measured(asked, beams, points, kind, k)
+    each = _tasks(asked.count(), QUERIES)
+    beams = _searched(asked, graph, sets[0], use, tasks, each)
+    return _measured(asked, beams, points, kind, k, each)
 
 
 def _pivots(raws: Sequence[bytes], kind: str) -> Codes:
@@ -463,14 +464,8 @@ def _pivots(raws: Sequence[bytes], kind: str) -> Codes:
     return Codes({dim: np.stack(v) for dim, v in made.items()})
 
 
-def _measured(asked: DataFrame, beams: DataFrame, points: DataFrame, kind: str, k: int) -> DataFrame:
+def _measured(asked: DataFrame, beams: DataFrame, points: DataFrame, kind: str, k: int, each: int) -> DataFrame:
     """The nearest rows of each query's beam by the original vectors."""
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, "<i8") for x in batch.column("ids").to_pylist()]
-            query = np.repeat(batch.column("query").to_numpy(), [len(x) for x in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate(ids))], ["query", "node"])
-
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -482,10 +477,10 @@ def _measured(asked: DataFrame, beams: DataFrame, points: DataFrame, kind: str,
                 out.append((r["query"], [m for _, m in pairs[:2 * k + 2]], [d for d, _ in pairs[:2 * k + 2]]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["node", "ids", "far"])
 
-    pairs = beams.select("query", "ids").mapInArrow(places, "query long, node long")
+    pairs = beams.select("query", F.explode("ids").alias("node"))
     met = pairs.join(points, "node").groupBy("query").agg(F.collect_list(F.struct("raw", "members")).alias("beam"))
     own = asked.groupBy("node").agg(F.first("raw").alias("own")).withColumnRenamed("node", "query")
-    answers = met.join(own, "query").mapInArrow(answer, "node long, ids array<long>, far array<double>")
+    answers = met.join(own, "query").coalesce(each).mapInArrow(answer, "node long, ids array<long>, far array<double>")
 
     def others(q: Column) -> Column:
         pairs = F.arrays_zip(F.col("ids").alias("ids"), F.col("far").alias("far"))

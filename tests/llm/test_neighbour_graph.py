@@ -114,3 +114,30 @@ def test_codes_and_best():
     row, ids = np.array([0, 0, 0, 1, 1, 0]), np.array([5, 6, 5, 9, 8, 7])
     far = np.array([2.0, 1.0, 0.5, 3.0, 3.0, 9.0])
     assert best_of_rows(row, ids, far, 2).tolist() == [1, 0, 4, 3]
+
+
+def test_small_table_runs_few_tasks_at_many_shuffle_partitions(spark):
+    """Tasks follow the rows, not the shuffle partitions, where Spark does not merge these; the rows found stay the same."""
+    pick = np.random.default_rng(5)
+    rows = [(n, v.tolist(), "x", 1, 2) for n, v in enumerate(pick.normal(size=(600, 8)))]
+    data, use = spark.createDataFrame(rows, VECTORS), Settings(lists=12, sample=6, sets=2, per_pivot=60, beam=40, step=16, rounds=2)
+    expected = brute([r[:2] for r in rows], 10, 25)
+    context, many = spark.sparkContext, 48
+    held = {"spark.sql.shuffle.partitions": str(many), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        context.setJobGroup("op13-tasks", "tasks of a small search")
+        found = found_by_query(nearest_found(data, every=25, use=use))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    status = context.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup("op13-tasks")]
+    stages = [status.getStageInfo(s) for s in {s for j in jobs if j for s in j.stageIds}]
+    # stages that were skipped have no completed tasks
+    tasks = [s.numCompletedTasks for s in stages if s and s.numCompletedTasks]
+    assert set(found) == set(expected) and recall(found, expected) >= 0.95
+    assert sum(t >= many for t in tasks) < 0.6 * len(tasks), sorted(tasks)
