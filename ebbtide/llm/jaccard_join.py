@@ -21,6 +21,8 @@ CELLS, SLICES = 1 << 20, 64
 FEW_NODES = 2_000_000
 #: Kept prefix grams before its own that a posting of the last join holds; more only save repeated candidate rows.
 BEFORE = 4
+#: Rows (links, postings) and pairs of texts of one task, where their number is known. More rows are more tasks, up to the shuffle partitions.
+ROWS_OF_TASK, PAIRS_OF_TASK = 1 << 16, 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,21 +109,30 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (total - both)
 
 
+def tasks_of(rows: int, each: int, parts: int) -> int:
+    """As many tasks as ``rows`` need at ``each`` a task, at most ``parts``."""
+    return min(parts, 1 + rows // each)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all linked nodes: alternating large and small stars until nothing moves.
 
-    Only minima and joins per round; a node with very many links is an aggregate and a splittable join.
+    Only minima and joins per round; a node with very many links is an aggregate and a splittable join. The links of a
+    round are counted, and its steps run in as many tasks as they need: few links are one task without a shuffle.
     """
     edges = pin(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    stamp = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    figures = F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))
+    stamp = edges.agg(*figures).first()
+    while stamp[0]:
+        tasks = tasks_of(stamp[0], ROWS_OF_TASK, parts_of(links))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = moved.coalesce(tasks).distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = pin(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        edges = pin(small.unionByName(roots.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
+        now = edges.agg(*figures).first()
         if now == stamp:
             break
         stamp = now
@@ -233,8 +244,11 @@ def _components_of_blocks(packed: DataFrame, parts: int, width: int, percent: in
                     ], ["node", "n", "alone", "grams", "places", "body"])
 
     active = pin(asked.mapInArrow(post, "node long, n long, alone long, grams array<long>, places array<int>, body binary"))
+    postings = active.agg(F.sum(F.size("grams"))).first()[0] or 0
+    tasks = tasks_of(postings, ROWS_OF_TASK, parts)
     bodies = active.select("node", "body")
-    listed = active.select("node", "n", "alone", "grams", F.posexplode(F.arrays_zip("grams", "places")).alias("earlier", "x")).select(
+    exploded = F.posexplode(F.arrays_zip("grams", "places")).alias("earlier", "x")
+    listed = active.coalesce(tasks).select("node", "n", "alone", "grams", exploded).select(
         F.col("x.grams").alias("gram"), "node", "n", "alone", F.col("x.places").alias("place"), "earlier",
         F.slice("grams", F.greatest(F.col("earlier") - (BEFORE - 1), F.lit(1)), F.least("earlier", F.lit(BEFORE))).alias("before"),
     )
@@ -259,13 +273,17 @@ def _components_of_blocks(packed: DataFrame, parts: int, width: int, percent: in
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
         pairs = pin(pairs)
+        count = pairs.count()
+        if not count:
+            return pairs
+        few_tasks = tasks_of(count, PAIRS_OF_TASK, parts)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         few = len(nodes.select(F.lit(1)).take(FEW_NODES + 1)) <= FEW_NODES
         # texts that no pair needs do not move, as long as the nodes are few enough to send to every task
         needed = bodies.join(F.broadcast(nodes), "node", "left_semi") if few else bodies
-        second = pairs.join(needed.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
+        second = pairs.join(needed.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").coalesce(few_tasks)
         both = second.join(needed.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-        return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "body_a", "body_b").coalesce(few_tasks).mapInArrow(run, "a long, b long")
 
     def near(p: str, q: str):
         """Length and positional filter: what two sets can share besides a gram at these places.
@@ -285,23 +303,23 @@ def _components_of_blocks(packed: DataFrame, parts: int, width: int, percent: in
         )
         if turn:
             mixed = joined.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            joined = pin(joined.join(mixed.select("gram"), "gram", "left_semi"))
+            joined = pin(joined.join(mixed.select("gram"), "gram", "left_semi").coalesce(tasks))
         order = F.xxhash64("node") if turn else F.struct("alone", "node")
         head = joined.groupBy("gram").agg(F.min_by(F.struct(*[c for c in joined.columns if c != "gram"]), order).alias("h")).select("gram", "h.*")
         apart = F.col("p.node") != F.col("q.node") if not turn else F.col("p.component") != F.col("q.component")
-        met = joined.alias("p").join(head.alias("q"), "gram").where(apart & near("p", "q")).groupBy(
+        met = joined.alias("p").join(head.alias("q"), "gram").where(apart & near("p", "q")).select(
             F.col("p.node").alias("node"), F.col("q.node").alias("head")
-        ).agg(F.count(F.lit(1)).alias("times"))
+        ).coalesce(tasks).groupBy("node", "head").agg(F.count(F.lit(1)).alias("times")).coalesce(tasks)
         # one head per class, the one it shares most grams with; what this leaves apart comes up again below
         best = met.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
-        star = best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        star = best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct().coalesce(tasks)
         found = verified(star)
-        links = pin(found if links is None else links.unionByName(found).distinct())
+        links = pin(found if links is None else links.unionByName(found).distinct().coalesce(tasks))
     merged = listed.join(components(links), "node", "left").select(
         "gram", "node", "n", "place", "earlier", "before", F.coalesce("component", "node").alias("component")
     )
     mixed = merged.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    merged = pin(merged.join(mixed.select("gram"), "gram", "left_semi"))
+    merged = pin(merged.join(mixed.select("gram"), "gram", "left_semi").coalesce(tasks))
     # near copies share grams in rows: a pair that already met at one of the grams just before is not made again. The first
     # gram that two sets share has no shared one before it, so every pair that passes the filters comes up there at least
     rest = merged.alias("p").join(merged.alias("q"), "gram").where(

@@ -20,6 +20,8 @@ ORDER = 5
 BOUNDED = 2
 #: Text of one group: large enough that it asks for few grams against its size, small enough for one task.
 GROUP_BYTES = 16 << 20
+#: Text of one step inside a group: its arrays hold some 80 bytes for every byte of text.
+STEP_BYTES = BLOCK_BYTES // 4
 #: Rows of trusted ids that are broadcast; more are joined by a shuffle of both sides.
 FEW_IDS = 2_000_000
 
@@ -40,7 +42,7 @@ def byte_grams(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def distinct_grams(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers of a batch and how often each occurs, slice by slice."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for part in slices(batch, text, BLOCK_BYTES):
+    for part in slices(batch, text, STEP_BYTES):
         more, times = np.unique(byte_grams(*bytes_of(part.column(text))), return_counts=True)
         keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
         counts = np.bincount(back, weights=np.concatenate([counts, times]), minlength=len(keys)).astype(np.int64)
@@ -160,12 +162,12 @@ def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry:
     arrow = to_arrow_schema(schema)
 
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
-        table = HashTable(known["gram"].to_numpy().astype(np.uint64), known["logp"].to_numpy().astype(np.float64))
+        table = HashTable(known["gram"].to_numpy().astype(np.uint64), known["logp"].to_numpy())
         out = []
         for payload in rows["payload"]:
-            for part in slices(decode(payload.as_buffer()), text, BLOCK_BYTES):
+            for part in slices(decode(payload.as_buffer()), text, STEP_BYTES):
                 data, cuts = bytes_of(part.column(text))
-                sums = np.concatenate([[0.0], np.cumsum(table.get(byte_grams(data, cuts), np.nan))])
+                sums = np.concatenate([[0.0], np.cumsum(table.get(byte_grams(data, cuts), np.nan), dtype=np.float64)])
                 columns = [*[part.column(c) for c in names if c != text], pa.array(np.diff(cuts)), pa.array(sums[cuts[1:]] - sums[cuts[:-1]])]
                 out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
         return pa.Table.from_batches(out, arrow)
