@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,12 @@ def byte_grams(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return grams[place - lead]
 
 
+def distinct_keys(keys: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; sorting numbers is faster here than the hash table of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0]
+
+
 def distinct_grams(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers of a batch and how often each occurs, slice by slice."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -112,6 +118,23 @@ class KneserNey:
         return out.select(*rows.columns, p.alias("_p")) if below is not None else out.withColumn("_p", p).select(*rows.columns)
 
 
+def merged(payloads: Iterable[pa.Scalar], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of encoded batches in batches of about ``limit`` bytes of text, however small each payload is."""
+    held, size = [], 0
+
+    def put() -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+            yield from slices(batch, text, limit)
+
+    for payload in payloads:
+        held.append(decode(payload.as_buffer()))
+        size += held[-1].column(text).nbytes
+        if size >= limit:
+            yield from put()
+            held, size = [], 0
+    yield from put()
+
+
 def groups_of(docs: DataFrame, text: str) -> int:
     """As many groups as there are ``GROUP_BYTES`` of text."""
     return 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // GROUP_BYTES
@@ -135,19 +158,20 @@ def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry:
         for batch in batches:
             group = batch.column("_group").to_numpy()
             order = np.argsort(group, kind="stable")
-            edges = np.flatnonzero(np.diff(group[order], prepend=-1))
+            group, rows = group[order], batch.take(pa.array(order))
+            edges = np.flatnonzero(np.diff(group, prepend=-1))
             for a, b in zip(edges, [*edges[1:], len(order)]):
-                rows = batch.take(pa.array(order[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[order[a:a + 1]]), pa.array([encode(rows)], pa.binary())], ["_group", "payload"]
+                    [pa.array(group[a:a + 1]), pa.array([encode(rows.slice(a, b - a))], pa.binary())], ["_group", "payload"]
                 )
 
     packed = inner.mapInArrow(pack, "_group int, payload binary").repartition(parts, "_group")
 
     def wanted(table: pa.Table) -> pa.Table:
         keys = np.zeros(0, np.uint64)
-        for payload in table["payload"]:
-            keys = np.union1d(keys, distinct_grams(decode(payload.as_buffer()), text)[0])
+        # a group has a payload of every batch of the input: merged first, so the work follows the text and not their number
+        for part in merged(table["payload"], text, BLOCK_BYTES):
+            keys = distinct_keys(np.concatenate([keys, distinct_keys(byte_grams(*bytes_of(part.column(text))))]))
         return pa.table({"_group": pa.array(np.full(len(keys), table["_group"][0].as_py(), np.int32)), "gram": keys.astype(np.int64)})
 
     # never null, so no join adds a filter of its own: all uses of the asked grams read one and the same shuffle
@@ -162,12 +186,11 @@ def perplexity(docs: DataFrame, model: KneserNey, text: str, doc_id: str, carry:
     def score(rows: pa.Table, known: pa.Table) -> pa.Table:
         table = HashTable(known["gram"].to_numpy().astype(np.uint64), known["logp"].to_numpy().astype(np.float64))
         out = []
-        for payload in rows["payload"]:
-            for part in slices(decode(payload.as_buffer()), text, BLOCK_BYTES):
-                data, cuts = bytes_of(part.column(text))
-                sums = np.concatenate([[0.0], np.cumsum(table.get(byte_grams(data, cuts), np.nan))])
-                columns = [*[part.column(c) for c in names if c != text], pa.array(np.diff(cuts)), pa.array(sums[cuts[1:]] - sums[cuts[:-1]])]
-                out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
+        for part in merged(rows["payload"], text, BLOCK_BYTES):
+            data, cuts = bytes_of(part.column(text))
+            sums = np.concatenate([[0.0], np.cumsum(table.get(byte_grams(data, cuts), np.nan))])
+            columns = [*[part.column(c) for c in names if c != text], pa.array(np.diff(cuts)), pa.array(sums[cuts[1:]] - sums[cuts[:-1]])]
+            out.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
         return pa.Table.from_batches(out, arrow)
 
     return packed.groupBy("_group").cogroup(told.groupBy("_group")).applyInArrow(score, schema)
