@@ -4,16 +4,21 @@ Base rows are placed in cells around pivot rows, about as many cells as rows in
 nearest cell that holds enough rows, which gives a true k-th distance. Then it visits only the cells that can hold a nearer row. A
 cell is cut into blocks by its rows and into slices by the queries that visit it, so a crowded one is spread. Tasks compare one
 block with one slice and pass on at most ``k`` candidates per query; no list of pairs is ever formed.
+
+Where queries would visit many cells, as in high dimensions, and in small tables, packed blocks of queries meet all packed blocks of base
+rows instead: every row is written once, whatever the number of blocks it meets, and a task keeps the ``k`` best rows of its queries.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +32,11 @@ from ebbtide.session import pin
 BLOCK_ROWS = 4096
 COMPARE = 1 << 22  # distances a task holds at a time
 NO_REACH = float("inf")
+PACKED_ROWS = 8192
+#: Bytes of base vectors, 8 a number, that a task of packed blocks reads: it holds them in memory.
+PASS_BYTES = 1 << 28
+#: Up to so many pairs of rows are compared without looking for cells; above, if ``PROBES`` queries visit more than ``VISITS`` cells each.
+FEW_PAIRS, PROBES, VISITS = 1 << 32, 64, 8
 _ROW = "id long, vec array<double>, kinds array<long>"
 
 
@@ -147,21 +157,201 @@ def _nearest_in_block(k: int, itself: bool, penalty: float) -> Callable[[pa.Tabl
     return compare
 
 
+_PACKED = "block long, ids binary, known binary, vec binary, kinds binary"
+
+
+def _smallest(ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, kinds: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that can be among the ``k`` nearest of any row, itself left out: of equal rows those of smallest ids.
+
+    Of rows with equal vectors, ``k + 1`` ids are enough, and ``k`` rows of each id.
+    """
+    whole = np.ascontiguousarray(np.concatenate([vectors + 0.0, kinds.view(np.float64)], axis=1))
+    same = np.unique(whole.view(f"V{whole.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+    if not len(same) or same.max() + 1 == len(same):
+        return np.arange(len(same))
+    order = np.lexsort((ids, known, same))
+    same, ids, known, places = same[order], ids[order], known[order], np.arange(len(order))
+    group = np.append(True, np.diff(same) != 0)
+    name = group | np.append(True, (np.diff(ids) != 0) | (known[1:] != known[:-1]))
+    copies = places - np.maximum.accumulate(np.where(name, places, 0))
+    names = np.cumsum(name)
+    names -= np.maximum.accumulate(np.where(group, names, 0))
+    return np.sort(order[(copies < k) & (names <= k)])
+
+
+def _packed(rows: DataFrame, size: int, k: int = 0) -> DataFrame:
+    """Blocks of up to ``size`` rows, pinned; with ``k`` without the rows that equal ones of smaller id keep out of every result."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids, known = part.column("id").fill_null(0).to_numpy(), part.column("id").is_valid().to_numpy(zero_copy_only=False)
+                vectors = _matrix(part.column("vec"))
+                kinds = np.ascontiguousarray(_matrix(part.column("kinds")), dtype=np.int64).reshape(len(ids), -1)
+                if k:
+                    kept = _smallest(ids, known, vectors, kinds, k)
+                    ids, known, vectors, kinds = ids[kept], known[kept], vectors[kept], kinds[kept]
+                with np.errstate(over="ignore"):
+                    single = vectors.astype(np.float32)
+                # half the bytes where that loses nothing
+                body = single if np.array_equal(single, vectors) else vectors
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, known, body, kinds)]],
+                    ["block", "ids", "known", "vec", "kinds"])
+                number += 1
+
+    return pin(rows.mapInArrow(pack, _PACKED))
+
+
+@dataclass(frozen=True)
+class Block:
+    """Rows of one packed block."""
+
+    ids: np.ndarray
+    known: np.ndarray
+    vectors: np.ndarray
+    kinds: np.ndarray
+
+    @staticmethod
+    def read(ids: bytes, known: bytes, vec: bytes, kinds: bytes, numbers: int) -> Block:
+        names = np.frombuffer(ids, np.int64)
+        body = np.frombuffer(vec, np.float32 if len(vec) == 4 * numbers * len(names) else np.float64)
+        return Block(names, np.frombuffer(known, bool), body.reshape(len(names), -1).astype(np.float64),
+                     np.frombuffer(kinds, np.int64).reshape(len(names), -1))
+
+
+class Nearest:
+    """The ``k`` nearest rows of the queries of one block, among all blocks they have met."""
+
+    def __init__(self, queries: Block, k: int, itself: bool, penalty: float) -> None:
+        self.queries, self.k, self.itself, self.penalty = queries, k, itself, penalty
+        self.far = np.full((len(queries.ids), k), np.inf)
+        self.ids, self.known = np.zeros(self.far.shape, np.int64), np.zeros(self.far.shape, bool)
+
+    def meet(self, block: Block) -> None:
+        """Single precision rules out pairs, by more than its error; what is left is measured exactly."""
+        here = np.isfinite(block.vectors).all(1)
+        base, ids, known, kinds = block.vectors[here], block.ids[here], block.known[here], block.kinds[here]
+        if not len(ids):
+            return
+        centre = base.mean(axis=0)
+        other = base - centre
+        theirs = (other * other).sum(1)
+        off = 8 * (base.shape[1] + 4) * float(np.finfo(np.float32).eps)
+        step = max(1, COMPARE // len(ids))
+        for at in range(0, len(self.queries.ids), step):
+            part = slice(at, at + step)
+            vectors = np.where(np.isfinite(self.queries.vectors[part]).all(1)[:, None], self.queries.vectors[part], np.nan)
+            own = vectors - centre
+            mine = (own * own).sum(1)
+            scale = max(float(np.nanmax(mine, initial=0.0)), float(theirs.max())) or 1.0
+            left = np.concatenate([own * (-2 / math.sqrt(scale)), np.ones((len(own), 1))], axis=1).astype(np.float32)
+            right = np.concatenate([other / math.sqrt(scale), (theirs * ((1 - off) / scale))[:, None]], axis=1).astype(np.float32)
+            # less than the squared distance without the query's own part
+            low = left @ right.T
+            if self.penalty:
+                low += (self.penalty / scale) * _differing(self.queries.kinds[part], kinds).astype(np.float32)
+            spare = 1e-30 + 1e-6 * self.penalty * kinds.shape[1] / scale
+            limit = (self.far[part, -1] ** 2 * (1 + 1e-12) - mine * (1 - off)) / scale + spare
+            open_ = np.flatnonzero(np.isinf(self.far[part, -1]) & np.isfinite(mine))
+            if len(open_):
+                rows = low[open_]
+                if self.itself:
+                    names, there = self.queries.ids[part][open_], self.queries.known[part][open_]
+                    rows[(names[:, None] == ids[None, :]) & there[:, None] & known[None, :]] = np.inf
+                last = np.partition(rows, min(self.k, rows.shape[1]) - 1, axis=1)[:, min(self.k, rows.shape[1]) - 1]
+                limit[open_] = last.astype(float) + 4 * off * (mine[open_] + theirs.max()) / scale + 2 * spare
+            limit = np.minimum(np.nextafter(limit.astype(np.float32), np.float32(np.inf)), np.finfo(np.float32).max)
+            row, column = np.nonzero(low <= limit[:, None])
+            row += at
+            if self.itself:
+                others = (self.queries.ids[row] != ids[column]) | ~self.queries.known[row] | ~known[column]
+                row, column = row[others], column[others]
+            self._keep(row, ids[column], known[column], self._distance(row, base, kinds, column))
+
+    def _distance(self, row: np.ndarray, base: np.ndarray, kinds: np.ndarray, column: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row))
+        for at in range(0, len(row), 1 << 15):
+            i, j = row[at:at + (1 << 15)], column[at:at + (1 << 15)]
+            exact = ((base[j] - self.queries.vectors[i]) ** 2).sum(1)
+            if self.penalty:
+                exact += self.penalty * (kinds[j] != self.queries.kinds[i]).sum(1)
+            out[at:at + (1 << 15)] = np.sqrt(exact)
+        return out
+
+    def _keep(self, row: np.ndarray, ids: np.ndarray, known: np.ndarray, far: np.ndarray) -> None:
+        if not len(row):
+            return
+        touched = np.unique(row)
+        row = np.concatenate([np.repeat(touched, self.k), row])
+        ids, known, far = (np.concatenate([x[touched].ravel(), y]) for x, y in ((self.ids, ids), (self.known, known), (self.far, far)))
+        real = np.isfinite(far)
+        row, ids, known, far = row[real], ids[real], known[real], far[real]
+        order = np.lexsort((ids, known, far, row))
+        row, ids, known, far = row[order], ids[order], known[order], far[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        at = row[best], place[best]
+        self.ids[at], self.known[at], self.far[at] = ids[best], known[best], far[best]
+
+    def found(self) -> pa.RecordBatch:
+        row, place = np.nonzero(np.isfinite(self.far))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.queries.ids[row], mask=~self.queries.known[row]),
+             pa.array(self.ids[row, place], mask=~self.known[row, place]), pa.array(self.far[row, place])],
+            ["id", "neighbour", "distance"])
+
+
+def _meet_all(left: DataFrame, right: DataFrame, asked: int, rows: int, numbers: int, k: int, itself: bool, block_rows: int, penalty: float) -> DataFrame:
+    """At most ``k`` candidates per query and pass: every packed block of queries meets all blocks of base rows of the pass.
+
+    ``numbers`` is the length of the vectors. Base rows are read in passes of ``PASS_BYTES``.
+    """
+    size = lambda n: max(1, min(PACKED_ROWS, 2 * block_rows, max(256, n // 48)))
+    blocks, passes = math.ceil(asked / size(asked)), math.ceil(8 * rows * numbers / PASS_BYTES)
+    own = _packed(left, size(asked)).toDF(*[f"q_{c}" for c in ("block", "ids", "known", "vec", "kinds")]).repartition(max(1, blocks))
+    base = _packed(right, size(rows), k).coalesce(max(1, passes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # a view: bytes of a batch are not copied
+                own, block = ([batch.column(f"{q}{c}")[i].as_buffer() for c in ("ids", "known", "vec", "kinds")] for q in ("q_", ""))
+                if best is None or batch.column("q_block")[i].as_py() != at:
+                    if best is not None:
+                        yield best.found()
+                    at, best = batch.column("q_block")[i].as_py(), Nearest(Block.read(*own, numbers), k, itself, penalty)
+                best.meet(Block.read(*block, numbers))
+        if best is not None:
+            yield best.found()
+
+    return own.crossJoin(base.hint("shuffle_replicate_nl")).mapInArrow(run, "id bigint, neighbour bigint, distance double")
+
+
+def _shaped(frame: DataFrame, row_id: str, vector: str, categories: Sequence[str]) -> DataFrame:
+    """id, vec and kinds of the rows whose vector is whole."""
+    whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
+    kinds = F.array(*[F.xxhash64(c) for c in categories]).cast("array<bigint>")
+    return frame.select(
+        F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"), kinds.alias("kinds")
+    ).where(F.col("vec").isNotNull() & whole)
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
 class Search:
     """The two rounds of a neighbour search over base rows that are placed once."""
 
     def __init__(
         self, queries: DataFrame, base: DataFrame, k: int, row_id: str, vector: str, itself: bool, block_rows: int,
-        categories: Sequence[str] = (), penalty: float = 0.0,
+        categories: Sequence[str] = (), penalty: float = 0.0, written: bool = True,
     ) -> None:
-        def shaped(frame: DataFrame) -> DataFrame:
-            whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
-            kinds = F.array(*[F.xxhash64(c) for c in categories]).cast("array<bigint>")
-            return frame.select(
-                F.col(row_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"), kinds.alias("kinds")
-            ).where(F.col("vec").isNotNull() & whole)
-
-        self.left, right = shaped(queries), shaped(base)
+        self.left, right = _shaped(queries, row_id, vector, categories), _shaped(base, row_id, vector, categories)
         self.k, self.itself, self.block_rows, self.wanted = k, itself, block_rows, k + 1 if itself else k
         self.penalty = penalty if categories else 0.0
         rows = right.count()
@@ -181,7 +371,9 @@ class Search:
                     [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(reach), pa.array(norm)],
                     ["id", "vec", "kinds", "cell", "reach", "norm"])
 
-        self.placed = pin(right.mapInArrow(place, f"{_ROW}, cell int, reach double, norm double"))
+        self.placed = right.mapInArrow(place, f"{_ROW}, cell int, reach double, norm double")
+        if written:
+            self.placed = pin(self.placed)
         stats = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r"), F.max("norm").alias("m")).collect()
         for r in stats:
             cells.rows[r.cell], cells.radius[r.cell] = r.n, r.r * (1 + 1e-12)
@@ -230,8 +422,14 @@ class Search:
             _nearest_in_block(self.k, self.itself, self.penalty), "id bigint, neighbour bigint, distance double")
 
     def best(self, candidates: DataFrame) -> DataFrame:
-        order = Window.partitionBy("id").orderBy("distance", "neighbour")
-        return candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.k)
+        return _best(candidates, self.k)
+
+    def visits(self, probes: int) -> float:
+        """Cells that a query visits in the second round, on average over ``probes`` queries chosen by hash."""
+        few = copy.copy(self)
+        few.left = pin(self.left.orderBy(F.xxhash64("id"), "id").limit(probes))
+        found = pin(few.best(few.measured(few.first())))
+        return few.second(found).count() / max(1, few.left.count())
 
 
 def nearest(
@@ -244,11 +442,20 @@ def nearest(
     hold null or NaN take no part. Every column of ``categories`` that differs adds ``penalty`` to the squared
     distance; null is a category. The numbers alone are never farther apart, so they still rule out cells.
     """
-    search = Search(queries, base, k, row_id, vector, itself, block_rows, categories, penalty)
-    if search.empty:
-        return search.left.select(
+    left, right = _shaped(queries, row_id, vector, categories), _shaped(base, row_id, vector, categories)
+    rows, numbers = right.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    asked = rows if queries is base else left.count()
+    if not rows or not asked:
+        return left.select(
             "id", F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("distance"),
             F.lit(None).cast("int").alias("place")).where(F.lit(False))
+    packed = rows * asked <= FEW_PAIRS
+    if not packed:
+        search = Search(queries, base, k, row_id, vector, itself, block_rows, categories, penalty, written=False)
+        packed = search.visits(PROBES) > VISITS
+    if packed:
+        return _best(_meet_all(left, right, asked, rows, numbers, k, itself, block_rows, penalty if categories else 0.0), k)
+    search.placed = pin(search.placed)
     found = pin(search.best(search.measured(search.first())))
     rest = search.measured(pin(search.second(found)))
     return search.best(found.drop("place").unionByName(rest))
@@ -333,7 +540,7 @@ def _between_neighbours(
     around = nearest(
         start, few, k, row_id=row_id, vector=vector, itself=True, categories=categories, penalty=penalty
     ).select("id", "neighbour", "place")
-    around = pin(around) if categories else around
+    around = pin(around)
     known = around.groupBy("id").agg(F.max("place").alias("found"))
     drawn = seeded.join(known, "id").withColumn(
         "place", (hash_number(_draw(seed + ":pick", "id", "copy")) % F.col("found") + 1).cast("int")).withColumn(
