@@ -239,7 +239,7 @@ class Nearest:
         other = base - centre
         theirs = (other * other).sum(1)
         off = 8 * (base.shape[1] + 4) * float(np.finfo(np.float32).eps)
-        step = max(1, COMPARE // len(ids))
+        step = max(1, COMPARE // (4 * len(ids)))
         for at in range(0, len(self.queries.ids), step):
             part = slice(at, at + step)
             vectors = np.where(np.isfinite(self.queries.vectors[part]).all(1)[:, None], self.queries.vectors[part], np.nan)
@@ -263,7 +263,8 @@ class Nearest:
                 last = np.partition(rows, min(self.k, rows.shape[1]) - 1, axis=1)[:, min(self.k, rows.shape[1]) - 1]
                 limit[open_] = last.astype(float) + 4 * off * (mine[open_] + theirs.max()) / scale + 2 * spare
             limit = np.minimum(np.nextafter(limit.astype(np.float32), np.float32(np.inf)), np.finfo(np.float32).max)
-            row, column = np.nonzero(low <= limit[:, None])
+            # few of many: found in the flat matrix, where that is much faster
+            row, column = np.divmod(np.flatnonzero(low <= limit[:, None]), len(ids))
             row += at
             if self.itself:
                 others = (self.queries.ids[row] != ids[column]) | ~self.queries.known[row] | ~known[column]
@@ -652,7 +653,8 @@ def smote_cleaned(
 
 def tomek_links(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     """Pairs of different classes that are each other's nearest row."""
-    first = nearest(rows, rows, 1, row_id=row_id, vector=vector, itself=True).select("id", "neighbour", "distance")
+    # read twice, by both sides of the join
+    first = pin(nearest(rows, rows, 1, row_id=row_id, vector=vector, itself=True).select("id", "neighbour", "distance"))
     back = first.select(F.col("id").alias("neighbour"), F.col("neighbour").alias("id"))
     classes = rows.select(F.col(row_id).alias("id"), F.col(label).alias("label"))
     other = classes.select(F.col("id").alias("neighbour"), F.col("label").alias("other_label"))

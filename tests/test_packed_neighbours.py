@@ -93,3 +93,16 @@ def test_a_row_is_written_once_whatever_it_meets(spark, monkeypatch):
     monkeypatch.setattr(nn, "pin", counting)
     assert nn.nearest(rows, rows, 3, row_id="id", vector="vec", itself=True).count() == 9000
     assert sum(pinned) < 4 * 3000 * 41 * 8
+
+
+def test_tomek_links_search_once(spark):
+    """Both sides of the mutual join read one result: the search itself is not in the plan again."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (200, 3))
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(200), "vec": x.tolist(), "y": np.arange(200) % 2}))
+    links = nn.tomek_links(rows, "id", "vec", "y")
+    plan = links._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "CartesianProduct" not in plan
+    near = {i: n[0][0] for i, n in enumerate(plain(blocks_of(x, np.arange(200)), blocks_of(x, np.arange(200)), 1, True))}
+    want = {(i, j) for i, j in near.items() if near[j] == i and i < j and (i - j) % 2}
+    assert {(r.id, r.neighbour) for r in links.collect()} == want
