@@ -38,7 +38,7 @@ def test_folding_against_python(monkeypatch, step):
 
 
 def test_texts_are_folded_in_time(spark):
-    """16 MB of accented text: about 160 core seconds with the characters in a pattern, under one with tables."""
+    """16 MB of accented text: with the characters in a pattern it took longer than the limit here."""
     rows = spark.range(800, numPartitions=8).select("id", F.repeat(F.lit("Kŭrdzhali (stolitsa), ½ "), 800).alias("t"))
     began = time.monotonic()
     found = rows.select(text.plain_name("t").alias("n")).groupBy("n").count().collect()
